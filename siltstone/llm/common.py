@@ -70,28 +70,28 @@ def filesystem(uri: str) -> tuple[pa.fs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def running_sum(scratch: Scratch, df: DataFrame, name: str, order: list, values: dict[str, str], per: str | None = None) -> DataFrame:
-    """Add, for each ``out: column`` of ``values``, the sum of the column over the rows before this one.
+def running_sum(scratch: Scratch, df: DataFrame, name: str, order: list, values: dict[str, str], per: str | None = None, whole: dict[str, str] | None = None) -> DataFrame:
+    """Add, for each ``out: column``, the sum of the column over the rows before this one.
 
-    ``order`` is a total order (ties must be equal rows); ``per`` restarts the sum for each value of a column.
-    No task ever holds more than one range of rows, however large a ``per`` group is: rows are range-partitioned
-    by (per, order), summed within each range, and shifted by the sums of the ranges before it. Those range sums
-    are one row per range and group, so the last step is small.
+    ``order`` is a total order (ties must be equal rows). Sums of ``values`` restart for each value of the column
+    ``per``, those of ``whole`` don't. No task ever holds more than one range of rows, however large a ``per``
+    group is: rows are range-partitioned by (per, order), summed within each range, and shifted by the sums of the
+    ranges before it. Those range sums are one row per range and group, so the last step is small.
     """
+    whole = whole or {}
     keys = [F.col(per).asc_nulls_last()] if per else []
     cols = [o if isinstance(o, Column) else F.col(o) for o in order]
-    ranged = df.repartitionByRange(*keys, *cols).withColumn("_range", F.spark_partition_id())
-    ranged = scratch.table(ranged, name)
-    groups = ["_range", *([per] if per else [])]
-    within = Window.partitionBy(*groups).orderBy(*cols).rowsBetween(Window.unboundedPreceding, -1)
-    sums = ranged.groupBy(*groups).agg(*[F.sum(c).alias(f"_of_{o}") for o, c in values.items()])
-    before = (Window.partitionBy(per) if per else Window.partitionBy()).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(
-        *[F.col(g).alias(f"_at_{g}") for g in groups],
-        *[F.coalesce(F.sum(f"_of_{o}").over(before), F.lit(0)).alias(f"_base_{o}") for o in values],
-    )
-    on = [F.col(g).eqNullSafe(F.col(f"_at_{g}")) for g in groups]
-    out = ranged.withColumns({f"_in_{o}": F.coalesce(F.sum(c).over(within), F.lit(0)) for o, c in values.items()}).join(sums, on)
-    return out.withColumns({o: F.col(f"_in_{o}") + F.col(f"_base_{o}") for o in values}).drop(
-        "_range", *[f"_at_{g}" for g in groups], *[f"_{k}_{o}" for o in values for k in ("in", "base")]
-    )
+    ranged = scratch.table(df.repartitionByRange(*keys, *cols).withColumn("_range", F.spark_partition_id()), name)
+    out = ranged
+    for k, (group, sums) in enumerate(((per, values), (None, whole))):
+        if not sums:
+            continue
+        by = ["_range", *([group] if group else [])]
+        within = Window.partitionBy(*by).orderBy(*([] if group else keys), *cols).rowsBetween(Window.unboundedPreceding, -1)
+        before = (Window.partitionBy(group) if group else Window.partitionBy()).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        shifts = ranged.groupBy(*by).agg(*[F.sum(c).alias(f"_of_{o}") for o, c in sums.items()])
+        shifts = shifts.select(*[F.col(g).alias(f"_at{k}_{g}") for g in by], *[F.coalesce(F.sum(f"_of_{o}").over(before), F.lit(0)).alias(f"_base_{o}") for o in sums])
+        out = out.withColumns({f"_in_{o}": F.coalesce(F.sum(c).over(within), F.lit(0)) for o, c in sums.items()})
+        out = out.join(shifts, [F.col(g).eqNullSafe(F.col(f"_at{k}_{g}")) for g in by])
+    out = out.withColumns({o: F.col(f"_in_{o}") + F.col(f"_base_{o}") for o in (*values, *whole)})
+    return out.select(*df.columns, *values, *whole)

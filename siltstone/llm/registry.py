@@ -1,4 +1,6 @@
 """The queries opN_<name> of the training-data operators and the DuckDB SQL of those that SQL can express."""
 
-QUERIES: dict = {}
+from .sstable import op1_sstable
+
+QUERIES: dict = {"op1_sstable": op1_sstable}
 ORACLES: dict = {}
