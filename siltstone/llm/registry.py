@@ -1,6 +1,8 @@
 """The queries opN_<name> of the training-data operators and the DuckDB SQL of those that SQL can express."""
 
+from .mixing import OP6_SQL, op6_mixing
+from .packing import op10_packing
 from .sstable import op1_sstable
 
-QUERIES: dict = {"op1_sstable": op1_sstable}
-ORACLES: dict = {}
+QUERIES: dict = {"op1_sstable": op1_sstable, "op6_mixing": op6_mixing, "op10_packing": op10_packing}
+ORACLES: dict = {"op6_mixing": OP6_SQL}
