@@ -56,10 +56,8 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = (1, 2,
     """
     scratch = Scratch(spark, "mixing")
     sized = docs.select("doc_id", "source", *keep, word_count("text").alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("draw"))
-    # the running sums of a source over its ranges; the source's own size is the sum of the ranges
-    summed = scratch.table(running_sum(scratch, sized, "sized", ["draw", "doc_id", "size", *keep], {"cum": "size"}, per="source"), "summed")
-    scratch.drop("sized")
-    sizes = summed.groupBy("source").agg(F.sum("size").alias("source_size"))
+    summed = running_sum(scratch, sized, "sized", ["draw", "doc_id", "size", *keep], {"cum": "size"}, per="source")
+    sizes = scratch.read("sized", sized).groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, limit).withColumnRenamed("source", "_source")
     mixed = summed.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     goal = F.round("target").cast("long")
