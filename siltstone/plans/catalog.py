@@ -1,4 +1,438 @@
-"""Registered queries of the retrieval engine and their DuckDB counterparts."""
+"""Registered queries of the retrieval engine and their DuckDB counterparts.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+The driver's table ``documents`` stands for the corpus: source is the title, text the plot, lang the decade. Scores are
+rounded to six digits before they are ordered, in both engines.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.functions import codec, text
+from siltstone.operators import index as ix
+from siltstone.operators import ranking, reports
+from siltstone.operators.store import IndexStore, create_index
+from siltstone.sources.readers import parquet_documents
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+THREE, REPEATED, RARE, COMMON, NONE = "elle thre the", "thou rend heon thou", "nja ouaux enan", "ernd nos the of", "zzzz"
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with the SQL for the same rows."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder for one query's index, in the cluster's shared folder if one is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="siltstone-index-")
+    return f"{root.rstrip('/')}/index-{uuid.uuid4().hex[:12]}"
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parquet_documents(spark, f"{sf_dir}/documents.parquet")
+
+
+def index(spark: SparkSession, sf_dir: str) -> ix.Index:
+    return ix.build(corpus(spark, sf_dir))
+
+
+def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+# ---- SQL fragments -------------------------------------------------------------------------------------------------
+
+DOCS = r"docs AS (SELECT doc_id, source AS title, text AS plot, lang AS decade, regexp_extract_all(lower(coalesce(source, '') || ' ' || coalesce(text, '')), '[a-z0-9]+') AS toks FROM documents)"
+TOKENS = "toks AS (SELECT doc_id, unnest(toks) AS term, CAST(generate_subscripts(toks, 1) - 1 AS BIGINT) AS pos FROM docs)"
+POSTINGS = "postings AS (SELECT term, doc_id, count(*) AS tf FROM toks GROUP BY ALL)"
+STATS = "stats AS (SELECT doc_id, title, CAST(len(toks) AS BIGINT) AS doc_len FROM docs)"
+LEXICON = "lexicon AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM postings GROUP BY term)"
+BASE = f"WITH {DOCS}, {TOKENS}, {POSTINGS}, {STATS}, {LEXICON}"
+#: Main documents, added ones, and deletions for the updatable queries.
+LIVE_DOCS = DOCS.replace("FROM documents)", "FROM documents WHERE doc_id % 7 <> 0)")
+LIVE = BASE.replace(DOCS, LIVE_DOCS)
+
+
+def _asked(q: str) -> str:
+    found = text.query_tokens(q)
+    rows = ", ".join(f"(CAST(0 AS BIGINT), '{t}', CAST({found.count(t)} AS BIGINT), CAST({found.index(t)} AS BIGINT))" for t in dict.fromkeys(found))
+    return f"asked(query_id, term, qtf, first_pos) AS (VALUES {rows})"
+
+
+BATCH_SQL = (
+    "qt AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM benchmark), "
+    "qe AS (SELECT query_id, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos FROM qt), "
+    "asked AS (SELECT query_id, term, count(*) AS qtf, CAST(min(pos) AS BIGINT) AS first_pos FROM qe GROUP BY ALL)"
+)
+SIZE = "size AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(doc_len) AS avgdl FROM stats)"
+
+
+def _top(k: int) -> str:
+    return (
+        "scores AS (SELECT query_id, doc_id, round(sum(w), 6) AS score, min(first_pos) AS first_pos FROM weighted GROUP BY ALL), "
+        "ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first_pos, doc_id) AS rank FROM scores) "
+        f"SELECT query_id, rank, r.doc_id, title, score FROM ranked r JOIN stats USING (doc_id) WHERE rank <= {k}"
+    )
+
+
+def bm25_sql(asked: str, k: int = 10, k1: float = 1.5, b: float = 0.75, base: str = BASE) -> str:
+    d = lambda x: f"CAST({x} AS DOUBLE)"
+    return f"{base}, {asked}, {SIZE}, weighted AS (SELECT a.query_id, p.doc_id, a.first_pos, a.qtf * ln(n / df) * tf * {d(k1 + 1)} / (tf + {d(k1)} * ({d(1 - b)} + {d(b)} * doc_len / avgdl)) AS w FROM asked a JOIN lexicon USING (term) JOIN postings p USING (term) JOIN stats s ON s.doc_id = p.doc_id, size), {_top(k)}"
+
+
+def smart_sql(asked: str, scheme: str = "ltc", k: int = 10) -> str:
+    tf = "(1 + ln(qtf))" if scheme == "ltc" else "CAST(qtf AS DOUBLE)"
+    return f"{BASE}, {asked}, {SIZE}, raw AS (SELECT query_id, term, first_pos, {tf} * ln(n / df) AS r FROM asked JOIN lexicon USING (term), size), norms AS (SELECT query_id, sqrt(sum(r * r)) AS norm FROM raw GROUP BY query_id), weighted AS (SELECT query_id, p.doc_id, first_pos, CASE WHEN norm = 0 THEN 0 ELSE r / norm END * (1 + ln(tf)) AS w FROM raw JOIN norms USING (query_id) JOIN postings p USING (term)), {_top(k)}"
+
+
+def vb_sql(n: str) -> str:
+    parts = [f"CASE WHEN {n} >= {1 << 7 * k} THEN printf('%02X', ({n} >> {7 * k}) & 127) ELSE '' END" for k in range(8, 0, -1)]
+    return "(" + " || ".join([*parts, f"printf('%02X', ({n} & 127) | 128)"]) + ")"
+
+
+GAPS = "gaps AS (SELECT term, doc_id, tf, doc_id - coalesce(lag(doc_id) OVER (PARTITION BY term ORDER BY doc_id), 0) AS gap FROM postings)"
+CODED = f"{GAPS}, coded AS (SELECT *, {vb_sql('gap')} || {vb_sql('tf')} AS code FROM gaps)"
+
+
+# ---- tokens and the index ------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {DOCS}, {TOKENS} SELECT doc_id, pos, term FROM toks")
+def tokens(spark, sf_dir):
+    """Every token with its document and place."""
+    return ix.token_rows(corpus(spark, sf_dir))
+
+
+@query("WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS t FROM documents) SELECT doc_id, CAST(len(t) AS BIGINT) AS doc_len FROM d")
+def doc_length_plot_only(spark, sf_dir):
+    """Document lengths of an index of the plot alone."""
+    return ix.build(corpus(spark, sf_dir), fields=("plot",)).doc_stats.select("doc_id", "doc_len")
+
+
+@query(f"WITH {DOCS}, {STATS} SELECT doc_id, title, doc_len FROM stats")
+def doc_length(spark, sf_dir):
+    """Document statistics."""
+    return index(spark, sf_dir).doc_stats
+
+
+@query(f"{BASE} SELECT term, doc_id, tf FROM postings")
+def postings(spark, sf_dir):
+    """The inverted index."""
+    return index(spark, sf_dir).postings
+
+
+@query(f"{BASE} SELECT term, doc_id, tf FROM postings WHERE term = 'elle' ORDER BY doc_id LIMIT 5")
+def postings_term(spark, sf_dir):
+    """The first five postings of a term."""
+    return index(spark, sf_dir).terms("elle").orderBy("doc_id").limit(5).select("term", "doc_id", "tf")
+
+
+@query(f"{BASE} SELECT term, string_agg(doc_id || ':' || tf, ',' ORDER BY doc_id) AS postings FROM postings WHERE term = 'nja' GROUP BY term")
+def postings_map(spark, sf_dir):
+    """A term's postings as one map, written out."""
+    pairs = F.transform(F.map_entries("postings"), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string")))
+    return index(spark, sf_dir).as_map("nja").select("term", F.array_join(pairs, ",").alias("postings"))
+
+
+@query(f"{BASE} SELECT term, df, cf FROM lexicon")
+def lexicon(spark, sf_dir):
+    """Document and collection frequency of every term."""
+    return index(spark, sf_dir).lexicon
+
+
+@query(f"{BASE} SELECT term, df, cf FROM lexicon WHERE term IN ('the', 'of', 'que', 'der', 'elle', 'zzzz')")
+def sample_terms(spark, sf_dir):
+    """Frequencies of some terms; absent ones give no row."""
+    return ix.Index(index(spark, sf_dir).terms("the", "of", "que", "der", "elle", "zzzz"), corpus(spark, sf_dir)).lexicon
+
+
+@query(f"{BASE} SELECT (SELECT count(*) FROM stats) AS n, (SELECT avg(doc_len) FROM stats) AS avgdl, (SELECT CAST(coalesce(sum(doc_len), 0) AS BIGINT) FROM stats) AS total_tokens, count(*) AS vocabulary, CAST(coalesce(sum(df), 0) AS BIGINT) AS total_postings, coalesce(CAST(sum(df) AS DOUBLE) / count(*), 0) AS avg_postings FROM lexicon")
+def collection_stats(spark, sf_dir):
+    """Size of the collection and of the index."""
+    return index(spark, sf_dir).statistics()
+
+
+@query(f"{BASE} SELECT term, tf FROM postings WHERE doc_id = 17")
+def forward_index_doc(spark, sf_dir):
+    """Terms of one document."""
+    return index(spark, sf_dir).forward(17)
+
+
+@query(f"{BASE}, pairs(doc_id, term) AS (VALUES (CAST(3 AS BIGINT), 'elle'), (3, 'zzzz'), (17, 'the')) SELECT p.doc_id, p.term, coalesce(tf, 0) AS tf FROM pairs p LEFT JOIN postings q ON p.doc_id = q.doc_id AND p.term = q.term")
+def doc_term_tf(spark, sf_dir):
+    """Frequencies of (document, term) pairs, 0 where absent."""
+    pairs = spark.createDataFrame([(3, "elle"), (3, "zzzz"), (17, "the")], "doc_id long, term string")
+    found = index(spark, sf_dir).terms("elle", "zzzz", "the")
+    return pairs.join(found, ["doc_id", "term"], "left").select("doc_id", "term", F.coalesce("tf", F.lit(0)).alias("tf"))
+
+
+# ---- reports -------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT 'doc_id' AS column_name, count(*) FILTER (doc_id IS NULL) AS missing FROM documents UNION ALL SELECT 'title', count(*) FILTER (source IS NULL) FROM documents UNION ALL SELECT 'plot', count(*) FILTER (text IS NULL) FROM documents UNION ALL SELECT 'decade', count(*) FILTER (lang IS NULL) FROM documents")
+def missing_values(spark, sf_dir):
+    """Null counts by column."""
+    return reports.missing_values(corpus(spark, sf_dir))
+
+
+@query("SELECT lang AS decade, count(*) AS documents FROM documents GROUP BY lang")
+def docs_per_group(spark, sf_dir):
+    """Documents by decade."""
+    return reports.per_group(corpus(spark, sf_dir))
+
+
+@query("SELECT avg(length(text)) AS mean, median(length(text)) AS median, min(length(text)) AS least, max(length(text)) AS most FROM documents")
+def text_length_stats(spark, sf_dir):
+    """Plot lengths in characters."""
+    return reports.text_lengths(corpus(spark, sf_dir))
+
+
+@query(f"WITH {DOCS}, {STATS} SELECT avg(doc_len) AS mean, median(doc_len) AS median, min(doc_len) AS least, max(doc_len) AS most FROM stats")
+def token_count_stats(spark, sf_dir):
+    """Document lengths in tokens."""
+    return reports.token_counts(corpus(spark, sf_dir))
+
+
+@query(f"WITH {DOCS}, {TOKENS} SELECT term, count(*) AS occurrences FROM toks GROUP BY term ORDER BY occurrences DESC, min((doc_id, pos)) LIMIT 20")
+def top_terms(spark, sf_dir):
+    """The twenty most frequent terms."""
+    return reports.top_terms(corpus(spark, sf_dir))
+
+
+@query("SELECT doc_id, source AS title, CASE WHEN length(text) > 150 THEN substr(text, 1, 150) || '...' ELSE text END AS preview FROM documents WHERE doc_id < 3")
+def doc_preview(spark, sf_dir):
+    """The first documents, shortened."""
+    return reports.previews(corpus(spark, sf_dir))
+
+
+@query(f"WITH {DOCS} SELECT doc_id, length(plot) AS chars, CAST(len(toks) AS BIGINT) AS tokens, array_to_string(toks[1:15], ' ') AS first_tokens FROM docs WHERE doc_id < 3")
+def token_preview(spark, sf_dir):
+    """The first documents' first tokens."""
+    return reports.token_previews(corpus(spark, sf_dir))
+
+
+# ---- ranking -------------------------------------------------------------------------------------------------------
+
+
+@query(bm25_sql(_asked(THREE)))
+def bm25_single(spark, sf_dir):
+    """BM25, three terms."""
+    return ranking.bm25(index(spark, sf_dir), THREE)
+
+
+@query(bm25_sql(_asked(REPEATED)))
+def bm25_duplicate_terms(spark, sf_dir):
+    """BM25 counts a repeated query term twice."""
+    return ranking.bm25(index(spark, sf_dir), REPEATED)
+
+
+@query(bm25_sql(_asked(NONE)))
+def bm25_no_hit(spark, sf_dir):
+    """No document has the term."""
+    return ranking.bm25(index(spark, sf_dir), NONE)
+
+
+@query(bm25_sql(_asked(COMMON), 5, 1.2, 0.5))
+def bm25_params(spark, sf_dir):
+    """Other parameters and five results."""
+    return ranking.bm25(index(spark, sf_dir), COMMON, 5, 1.2, 0.5)
+
+
+@query(smart_sql(_asked(COMMON)))
+def smart_ltc(spark, sf_dir):
+    """SMART with logarithmic query weights."""
+    return ranking.smart(index(spark, sf_dir), COMMON)
+
+
+@query(smart_sql(_asked(REPEATED), "ntc"))
+def smart_ntc(spark, sf_dir):
+    """SMART with natural query weights."""
+    return ranking.smart(index(spark, sf_dir), REPEATED, "ntc.ltc")
+
+
+@query(smart_sql(_asked(RARE), "ltc", 3))
+def smart_topk(spark, sf_dir):
+    """The three best."""
+    return ranking.smart(index(spark, sf_dir), RARE, top_k=3)
+
+
+@query(bm25_sql(BATCH_SQL))
+def bm25_batch(spark, sf_dir):
+    """BM25 for all queries of a table at once."""
+    return ranking.bm25(index(spark, sf_dir), batch(spark, sf_dir))
+
+
+@query(smart_sql(BATCH_SQL))
+def smart_batch(spark, sf_dir):
+    """SMART for all queries of a table at once."""
+    return ranking.smart(index(spark, sf_dir), batch(spark, sf_dir))
+
+
+@query(f"{BASE} SELECT a.doc_id, least(a.tf, b.tf) AS tf FROM postings a JOIN postings b USING (doc_id) WHERE a.term = 'the' AND b.term = 'of'")
+def boolean_and(spark, sf_dir):
+    """Documents with both terms."""
+    return ranking.boolean_and(index(spark, sf_dir), "the of")
+
+
+LM = f"{BASE}, {_asked(RARE)}, total AS (SELECT CAST(sum(doc_len) AS DOUBLE) AS c FROM stats), weighted AS (SELECT a.query_id, p.doc_id, a.first_pos, a.qtf * ln(1 + CAST(0.5 AS DOUBLE) * tf / doc_len / (CAST(0.5 AS DOUBLE) * cf / c)) AS w FROM asked a JOIN lexicon USING (term) JOIN postings p USING (term) JOIN stats s ON s.doc_id = p.doc_id, total), {_top(10)}"
+
+
+@query(LM)
+def language_model(spark, sf_dir):
+    """Extension: query likelihood with Jelinek-Mercer smoothing."""
+    return ranking.language_model(index(spark, sf_dir), RARE)
+
+
+# ---- codec ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"{BASE}, {GAPS} SELECT term, doc_id, tf, gap FROM gaps")
+def gaps(spark, sf_dir):
+    """Gaps between a term's documents."""
+    return codec.with_gaps(index(spark, sf_dir).postings)
+
+
+@query(f"{BASE} SELECT term, doc_id, tf FROM postings")
+def gap_roundtrip(spark, sf_dir):
+    """Documents again from the gaps."""
+    coded = codec.with_gaps(index(spark, sf_dir).postings).withColumnRenamed("doc_id", "place")
+    return codec.from_gaps(coded, "place").select("term", "doc_id", "tf")
+
+
+@query(f"SELECT doc_id, {vb_sql('n_chars * n_chars * 1000')} AS code FROM documents")
+def vb_encode(spark, sf_dir):
+    """Variable-byte codes, in hex."""
+    n = F.col("n_chars")
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.hex(codec.vb_encode(n * n * F.lit(1000))).alias("code"))
+
+
+@query(f"{BASE}, {CODED} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, string_agg(code, '' ORDER BY doc_id) AS blob FROM coded GROUP BY term")
+def compressed_postings(spark, sf_dir):
+    """Posting lists as gap and variable-byte codes, in hex."""
+    return codec.compress(index(spark, sf_dir).postings).withColumn("blob", F.hex("blob"))
+
+
+@query(f"{BASE}, {CODED} SELECT term, {vb_sql('count(*)')} || string_agg(code, '' ORDER BY doc_id) AS record FROM coded GROUP BY term")
+def packed_records(spark, sf_dir):
+    """Posting lists with df before them, in hex."""
+    return codec.compress(index(spark, sf_dir).postings, with_df=True).select("term", F.hex("blob").alias("record"))
+
+
+@query(f"{BASE} SELECT term, doc_id, tf FROM postings")
+def decompressed_postings(spark, sf_dir):
+    """Postings again from the compressed lists."""
+    return codec.decompress(codec.compress(index(spark, sf_dir).postings))
+
+
+@query(f"{BASE}, {CODED}, placed AS (SELECT term, doc_id, row_number() OVER w - 1 AS nth, count(*) OVER (PARTITION BY term) AS df, CAST(coalesce(sum(length(code) // 2) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset FROM coded WINDOW w AS (PARTITION BY term ORDER BY doc_id)) SELECT term, doc_id, nth, byte_offset FROM placed WHERE nth > 0 AND nth % greatest(1, CAST(floor(sqrt(df)) AS BIGINT)) = 0 AND df > floor(sqrt(df))")
+def skip_entries(spark, sf_dir):
+    """Skip entries of every posting list."""
+    return codec.skip_entries(index(spark, sf_dir).postings)
+
+
+@query(f"{BASE}, ranked AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY term) AS df FROM postings WHERE term = 'the'), start AS (SELECT max(doc_id) AS d FROM ranked WHERE i > 0 AND i % CAST(floor(sqrt(df)) AS BIGINT) = 0 AND doc_id <= 500) SELECT term, doc_id, tf FROM ranked, start WHERE doc_id BETWEEN d AND 500")
+def skip_segment(spark, sf_dir):
+    """The part of a list that a look-up of document 500 reads."""
+    found = index(spark, sf_dir).terms("the")
+    return codec.segment(found, codec.skip_entries(found), 500)
+
+
+@query(f"{BASE}, {CODED} SELECT count(*) AS terms, count(*) FILTER (bytes > 16 * df) AS over_bound, CAST(sum(bytes) AS BIGINT) AS bytes FROM (SELECT term, count(*) AS df, sum(length(code) // 2) AS bytes FROM coded GROUP BY term)")
+def compression_bound(spark, sf_dir):
+    """No list takes more than 16 bytes a posting."""
+    lists = codec.compress(index(spark, sf_dir).postings)
+    return lists.agg(F.count("*").alias("terms"), F.count_if(F.length("blob") > 16 * F.col("df")).alias("over_bound"), F.sum(F.length("blob")).alias("bytes"))
+
+
+# ---- indexes on disk -----------------------------------------------------------------------------------------------
+
+
+def stored(spark: SparkSession, sf_dir: str) -> IndexStore:
+    return create_index(spark, "disk", corpus(spark, sf_dir), folder(spark))
+
+
+def updated(spark: SparkSession, sf_dir: str) -> IndexStore:
+    """Nine tenths of the documents, then the rest as a segment, then every seventh deleted."""
+    docs = corpus(spark, sf_dir).select("doc_id", "title", "plot")
+    store = IndexStore(spark, folder(spark), merge_threshold=1 << 62)
+    cut = docs.agg(F.expr("max(doc_id) * 9 div 10")).first()[0]
+    store.create(docs.where(F.col("doc_id") <= cut))
+    store.add(docs.where(F.col("doc_id") > cut))
+    store.delete(docs.where("doc_id % 7 = 0"))
+    return store
+
+
+@query(f"{BASE} SELECT term, doc_id, tf FROM postings WHERE term = 'elle'")
+def disk_lookup(spark, sf_dir):
+    """One term's postings from a snapshot."""
+    return stored(spark, sf_dir).view().terms("elle").select("term", "doc_id", "tf")
+
+
+@query(f"{BASE} SELECT term, df, cf FROM lexicon")
+def lazy_lexicon(spark, sf_dir):
+    """The stored lexicon; no posting is read."""
+    return stored(spark, sf_dir).lexicon()
+
+
+@query(bm25_sql(_asked(THREE)))
+def disk_bm25(spark, sf_dir):
+    """Ranking on a snapshot."""
+    return ranking.bm25(stored(spark, sf_dir).view(), THREE)
+
+
+@query(f"{LIVE} SELECT term, doc_id, tf FROM postings")
+def updatable_view(spark, sf_dir):
+    """Snapshot and segment without deleted documents."""
+    return updated(spark, sf_dir).view().postings.select("term", "doc_id", "tf")
+
+
+@query(f"{LIVE} SELECT term, df, cf FROM lexicon")
+def updatable_merged(spark, sf_dir):
+    """The stored lexicon after a merge."""
+    store = updated(spark, sf_dir)
+    store.merge()
+    return store.lexicon()
+
+
+@query(f"{LIVE} SELECT doc_id, title, doc_len FROM stats")
+def updatable_stats(spark, sf_dir):
+    """Document statistics of the merged index."""
+    store = updated(spark, sf_dir)
+    store.merge()
+    return store.view().doc_stats.select("doc_id", "title", "doc_len")
+
+
+@query(bm25_sql(_asked(THREE), base=LIVE))
+def updatable_bm25(spark, sf_dir):
+    """Ranking on the view."""
+    return ranking.bm25(updated(spark, sf_dir).view(), THREE)
+
+
+@query(f"{BASE}, aux AS (SELECT term, doc_id, tf + 1 AS tf FROM postings WHERE doc_id % 10 = 9) SELECT term, doc_id, tf FROM postings WHERE doc_id % 10 <> 9 UNION ALL SELECT term, doc_id, tf FROM aux")
+def overlay(spark, sf_dir):
+    """An auxiliary index overrides equal postings."""
+    main = index(spark, sf_dir).postings
+    return ix.overlay(main, main.where("doc_id % 10 = 9").withColumn("tf", F.col("tf") + 1)).select("term", "doc_id", "tf")
+
+
+@query("SELECT CAST(0 AS BIGINT) AS differences")
+def mode_equivalence(spark, sf_dir):
+    """Postings in memory and on disk differ in no row."""
+    memory = create_index(spark, "memory", corpus(spark, sf_dir)).postings
+    disk = stored(spark, sf_dir)
+    return ix.differences(memory, disk.view().postings).agg(F.count("*").alias("differences"))
