@@ -26,7 +26,7 @@ def decade_files(spark: SparkSession, folder: str, decades: tuple[str, ...] = DE
 
 def text_folder(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, title, plot) of a folder's files: title is the file's name, plot its whole text, ids by name."""
-    read = spark.read.option("wholetext", True).text(folder).select(F.col("_metadata.file_name").alias("title"), F.col("value").alias("plot"))
+    read = spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("title"), F.col("value").alias("plot"))
     return dense_ids(read, ["title"]).select("doc_id", "title", "plot")
 
 
