@@ -17,12 +17,16 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 
 import numpy as np
 from tokenizers import Tokenizer
 
 _PLAIN = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: The pattern of a ``Split`` whose pieces in lower-case ASCII text ``_PIECES`` finds too.
+_KNOWN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 _HELD: dict = {}
 
 
@@ -47,6 +51,16 @@ class ChunkEncoder:
         elif steps[0].get("type") == "Split" and steps[0].get("invert") and steps[0].get("behavior") == "Removed":
             self.kind = "removed"
         self.cached, self.longest, self.new, self.old = cached, longest, {}, {}
+        self.measure = None
+        vocab = self.tokenizer.get_vocab()
+        if self.kind == "spaced":  # byte-level tokens: a character stands for a byte
+            self.measure = np.zeros(max(vocab.values()) + 1, np.int64)
+            for t, i in vocab.items():
+                self.measure[i] = len(t)
+        elif self.kind == "removed" and steps[0].get("pattern", {}).get("Regex") == _KNOWN and getattr(self.tokenizer.model, "end_of_word_suffix", None):
+            self.measure = np.zeros(max(vocab.values()) + 1, np.int64)
+            for t, i in vocab.items():
+                self.measure[i] = t.endswith(self.tokenizer.model.end_of_word_suffix)
 
     def chunks(self, text: str) -> list[str]:
         if self.kind == "removed":
@@ -59,12 +73,43 @@ class ChunkEncoder:
         return parts[:1] + [" " + p for p in parts[1:]]
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
-        """Many chunks in one call: a special token between them, which the library never merges with its surroundings."""
+        """Many chunks in one call, in a row as in a text, and the ids told apart again.
+
+        Byte-level chunks that begin with a space and end in none: by the bytes that each id stands for. Chunks
+        without white space whose number of pieces is certain: by the ids that end a piece. Others get a special
+        token between them, which the library never merges with its surroundings.
+        """
         batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        if self.measure is None:
+            return self._marked(chunks, batch)
+        sizes = {c: n for c in chunks if (n := self._size(c))}
+        done, row, between = {}, list(sizes), "" if self.kind == "spaced" else " "
+        groups = [row[at : at + 256] for at in range(0, len(row), 256)]
+        for group, e in zip(groups, batch(list(map(between.join, groups)), add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            raw = ids.tobytes()
+            ends = (np.searchsorted(np.cumsum(self.measure[ids]), np.cumsum([sizes[c] for c in group])) * 4 + 4).tolist()
+            done.update(zip(group, [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+        rest = [c for c in chunks if c not in sizes]
+        done.update(zip(rest, self._marked(rest, batch), strict=True))
+        return list(map(done.__getitem__, chunks))
+
+    def _size(self, c: str) -> int:
+        """What the measures of a chunk's ids add up to; 0: not certain."""
+        if self.kind == "spaced":
+            return len(c.encode()) if len(c) > 1 and c[0] == " " and not c[1].isspace() and not c[-1].isspace() else 0
+        if not c.isprintable():
+            return 0
+        if c.isascii():
+            return 1 if c.isalpha() else len(_PIECES.findall(c.lower()))
+        low = c.lower()
+        return int(c.isalpha() and low.isalpha() and len(low) == len(c) and unicodedata.is_normalized("NFC", c))
+
+    def _marked(self, chunks: list[str], batch) -> list[bytes]:
         if self.mark is None:
             return [np.array(e.ids, "<u4").tobytes() for e in batch(chunks, add_special_tokens=False)]
         out = []
-        for e in batch([self.mark[0].join(chunks[at : at + 256]) for at in range(0, len(chunks), 256)], add_special_tokens=False):
+        for e in batch([self.mark[0].join(chunks[at : at + 64]) for at in range(0, len(chunks), 64)], add_special_tokens=False):
             ids = np.array(e.ids, "<u4")
             raw, ends = ids.tobytes(), (np.flatnonzero(ids == self.mark[1]) * 4).tolist()
             out += [raw[a:b] for a, b in zip([0, *(x + 4 for x in ends)], [*ends, len(raw)], strict=True)]

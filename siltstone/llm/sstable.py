@@ -238,8 +238,8 @@ class TokenStore:
         def _rows(held):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), (kind, pa.int64(), pa.int64(), pa.binary()), strict=True)], ["key", "start", "n_tokens", "ids"])
 
-        # a shard is a row of a few bytes here and tens of MB there: each to a task of its own
-        spread = shards.select("path", "bytes", "base").repartition("path")
+        # a shard is a row of a few bytes here and tens of MB there: as many tasks as shards
+        spread = shards.select("path", "bytes", "base").repartition(max(1, self.manifest.count()), "path")
         return spread.mapInArrow(read, f"key {self.key_type}, start long, n_tokens long, ids binary")
 
     def lookup(self, keys: DataFrame) -> DataFrame:
