@@ -25,6 +25,25 @@ def utf8(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+_STATE: dict = {}
+
+
+def worker_state(name: str, make):
+    """What a Python worker keeps from task to task: one thing at a time, so that an operator's caches go when the
+    worker turns to another operator."""
+    if name not in _STATE:
+        import ctypes
+        import gc
+
+        _STATE.clear()
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+        _STATE[name] = make()
+    return _STATE[name]
+
+
 class Scratch:
     """One run's folder below spark.checkpoint.dir, which driver and executors share.
 

@@ -22,12 +22,13 @@ import unicodedata
 import numpy as np
 from tokenizers import Tokenizer
 
+from .common import worker_state
+
 _PLAIN = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: The pattern of a ``Split`` whose pieces in lower-case ASCII text ``_PIECES`` finds too.
 _KNOWN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-_HELD: dict = {}
 
 
 class ChunkEncoder:
@@ -136,7 +137,5 @@ class ChunkEncoder:
 
 
 def encoder(path: str) -> ChunkEncoder:
-    """One encoder per Python worker and file, so that its cache serves all tasks of the worker."""
-    if path not in _HELD:
-        _HELD[path] = ChunkEncoder(path)
-    return _HELD[path]
+    """One encoder per Python worker, so that its cache serves all tasks of the worker."""
+    return worker_state(f"encoder {path}", lambda: ChunkEncoder(path))

@@ -43,7 +43,7 @@ from .shingles import mix, text_sets
 
 ORDERS = 3
 #: Tokens that a chunk counts before it sends a run, and tokens of a hash range.
-RUN, RANGE = 6_000_000, 1_000_000
+RUN, RANGE = 3_000_000, 1_000_000
 #: Sets of a block: a thirtieth of its group, within these bounds; and tokens of a block.
 BLOCK_SETS, BLOCK_TOKENS = (128, 1024), 2_000_000
 _SALT = [np.uint64(0), np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)]

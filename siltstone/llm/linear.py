@@ -13,24 +13,27 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from .common import worker_state
+
 #: Code points handled at once; a longer text is scored in pieces of it, which cut at most two n-grams each.
-PIECE = 1 << 20
-_TABLES: dict[str, np.ndarray] = {}
+PIECE = 1 << 18
 
 
 def _table(kind: str) -> np.ndarray:
     """For each code point what stands for it. "letters": itself if a letter, else a space. "all": digits as 0, white
     space as a space, all else itself."""
-    if kind not in _TABLES:
+
+    def make() -> np.ndarray:
         out = np.arange(0x110000, dtype=np.uint32)
-        chars = [chr(i) for i in range(0x110000)]
+        test = lambda f: np.fromiter((f(chr(i)) for i in range(0x110000)), bool, 0x110000)
         if kind == "letters":
-            out[~np.fromiter((c.isalpha() for c in chars), bool, len(chars))] = 32
+            out[~test(str.isalpha)] = 32
         else:
-            out[np.fromiter((c.isspace() for c in chars), bool, len(chars))] = 32
-            out[np.fromiter((c.isdigit() for c in chars), bool, len(chars))] = 48
-        _TABLES[kind] = out
-    return _TABLES[kind]
+            out[test(str.isspace)] = 32
+            out[test(str.isdigit)] = 48
+        return out
+
+    return worker_state(f"table {kind}", make)
 
 
 def pieces(texts: list[str], limit: int = PIECE) -> Iterator[tuple[list[int], list[str]]]:

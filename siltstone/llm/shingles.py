@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from .common import worker_state
+
 #: White space between words: 0x20 and 0x09 to 0x0D.
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -16,10 +18,9 @@ _BYTE[65:91] = _BYTE[97:123]
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MULT = np.random.default_rng(21).integers(1, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
-_POWERS: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 #: Bytes of text handled at once; a longer text is handled alone.
-BATCH = 4 << 20
+BATCH = 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -30,12 +31,15 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS["up"]) < n:
-        for k, base in (("up", _BASE), ("down", _BACK)):
-            p = np.full(max(n, BATCH), base, np.uint64)
+    def make(size: int) -> tuple[np.ndarray, np.ndarray]:
+        out = []
+        for base in (_BASE, _BACK):
+            p = np.full(size, base, np.uint64)
             p[0] = 1
-            _POWERS[k] = np.cumprod(p, dtype=np.uint64)
-    return _POWERS["up"], _POWERS["down"]
+            out.append(np.cumprod(p, dtype=np.uint64))
+        return out[0], out[1]
+
+    return worker_state("powers", lambda: make(BATCH)) if n <= BATCH else make(n)
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
