@@ -30,12 +30,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays. Rows are told apart by doc_id and text; rows equal in both are one."""
-    part = lambda c: F.coalesce(F.md5(c), F.lit("-"))
-    # zero-padded, so that keys sort as ids do
+def with_key(docs: DataFrame) -> DataFrame:
+    """The columns of documents and _key, which tells rows apart by doc_id and text and sorts as doc_id does."""
     number = F.coalesce(F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")).cast("string"), 20, "0"), F.lit("~"))
-    keyed = docs.select(*COLUMNS).withColumn("_key", F.concat_ws(":", number, part("text")))
+    return docs.select(*COLUMNS).withColumn("_key", F.concat_ws(":", number, F.coalesce(F.md5("text"), F.lit("-"))))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays. Rows equal in doc_id and text are one."""
+    keyed = with_key(docs)
     found = near_duplicates(spark, keyed, size=5, percent=80, key="_key")
     stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_key"))
     return keyed.dropDuplicates(["_key"]).join(stay, "_key", "left_semi").select(*COLUMNS)
@@ -64,7 +67,10 @@ def leading_words(text: pd.Series, words: pd.Series) -> pd.Series:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix in training order."""
-    ordered = training_order(mix(spark, docs, keep=("text", "lang", "n_chars")))
+    # the mix is found without texts; rows equal in doc_id and text share one text
+    keyed = with_key(docs)
+    mixed = mix(spark, keyed, keep=("_key",)).where("taken > 0").drop("doc_id", "source")
+    ordered = training_order(mixed.join(keyed.dropDuplicates(["_key"]), "_key"))
     short = F.col("words") < F.col("size")
     text = F.when(short, leading_words(F.when(short, F.col("text")), F.col("words"))).otherwise(F.col("text"))
     cut = ordered.withColumn("text", text)

@@ -322,10 +322,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
     range_bits = max(3, math.ceil(math.log2(tokens / RANGE))) if tokens > RANGE else 3
     key_bits = min(63, max(40, 18 + math.ceil(math.log2(tokens + 1))))
     sets = _chunks(scratch, docs, key, key_type, size, key_bits, range_bits)
-    rows = sets.where("chunk is null").select("doc_id", "n", "sig")
+    rows = scratch.table(sets.where("chunk is null").select("doc_id", "n", "sig"), "rows")
     shared = _frequencies(sets.where("chunk is not null").select("chunk", "range", "keys", "counts"))
     classes = scratch.table(_classes(scratch, shared, size, percent, key_bits, range_bits), "classes0")
-    scratch.drop("chunks")
+    scratch.drop("chunks", "sets")
     classes = scratch.table(classes.dropDuplicates(["sig"]), "classes")
     scratch.drop("classes0")
 
@@ -339,6 +339,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
     plan = _blocks(members, percent).join(whole.select("sig", "copies"), "sig")
     work = plan.join(classes.drop("n"), "sig").withColumn("pair", F.explode("pairs")).select("*", "pair.a", "pair.b").drop("pair", "pairs")
     links = scratch.table(_links(work, percent), "links")
+    scratch.drop("classes")
     roots = connected_components(scratch, links.where("sig <> to").select(F.col("sig").alias("u"), F.col("to").alias("v")), "linked")
     degree = links.groupBy("sig").agg(F.sum("links").alias("links"))
 
