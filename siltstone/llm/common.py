@@ -3,7 +3,11 @@ a distributed running sum, and file access for executors."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
+import threading
+import time
 import uuid
 
 import pyarrow as pa
@@ -26,22 +30,38 @@ def utf8(name: str) -> Column:
 
 
 _STATE: dict = {}
+_USED = [0.0]
+#: Seconds after which a worker that no task asks for its state gives it up.
+IDLE = 15
+
+
+def trim_memory() -> None:
+    """Give freed memory back to the system."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def _forget_when_idle() -> None:
+    while time.monotonic() - _USED[0] < IDLE:
+        time.sleep(1)
+    _STATE.clear()
+    trim_memory()
 
 
 def worker_state(name: str, make):
     """What a Python worker keeps from task to task: one thing at a time, so that an operator's caches go when the
-    worker turns to another operator."""
-    if name not in _STATE:
-        import ctypes
-        import gc
-
-        _STATE.clear()
-        gc.collect()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
-        _STATE[name] = make()
-    return _STATE[name]
+    worker turns to another operator, and nothing once it is idle."""
+    _USED[0] = time.monotonic()
+    found = _STATE.get(name)
+    if found is None:
+        if _STATE:
+            _STATE.clear()
+            trim_memory()
+        found = _STATE[name] = make()
+        threading.Thread(target=_forget_when_idle, daemon=True).start()
+    return found
 
 
 class Scratch:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, utf8
+from .common import table, trim_memory, utf8
 from .linear import Linear, counts, row_logits, temperature, train
 
 UNKNOWN = "und"
@@ -54,6 +54,8 @@ def fit(docs: DataFrame, sample: int = 3000, bits: int = 18) -> tuple[Linear, li
     model = train([x[i] for i in np.flatnonzero(~held)], y[~held], len(langs), bits)
     at = np.flatnonzero(held)
     model.temperature = temperature(row_logits(model, [x[i] for i in at]), y[at])
+    del rows, x
+    trim_memory()
     return model, langs
 
 

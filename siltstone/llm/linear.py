@@ -90,8 +90,9 @@ def counts(texts: list[str], kind: str, bits: int) -> list[tuple[np.ndarray, np.
         order = np.argsort(doc, kind="stable")
         cuts = np.searchsorted(doc[order], np.arange(len(parts) + 1))
         for i, owner in enumerate(owners):
-            out[owner].append(feature[order[cuts[i] : cuts[i + 1]]])
-    return [np.unique(np.concatenate(o), return_counts=True) if o else (np.empty(0, np.int64), np.empty(0, np.int64)) for o in out]
+            out[owner].append(feature[order[cuts[i] : cuts[i + 1]]].astype(np.int32))
+    found = (np.unique(np.concatenate(o), return_counts=True) if o else (np.empty(0, np.int32), np.empty(0, np.int32)) for o in out)
+    return [(f, c.astype(np.int32)) for f, c in found]
 
 
 @dataclass
@@ -150,14 +151,14 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes
     z, n = np.zeros((size, classes)), np.zeros((size, classes))
     zb, nb = np.zeros(classes), np.zeros(classes)
     rng = np.random.default_rng(7)
-    xs = [scale * c / max(c.sum() + shrink, 1) * idf[f] for f, c in rows]
 
     def solved(z, n, l1):
         return np.where(np.abs(z) > l1, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2), 0.0)
 
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
-            f, x = rows[i][0], xs[i]
+            f, c = rows[i]
+            x = scale * c / max(c.sum() + shrink, 1) * idf[f]
             zf, nf = z[f], n[f]
             w, b = solved(zf, nf, l1), solved(zb, nb, 0.0)
             p = x @ w + b

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import table
+from .common import table, trim_memory
 from .langid import bounded_sample
 from .linear import Linear, counts, row_logits, temperature, train
 
@@ -116,7 +116,7 @@ def co_train(rows: list, y: np.ndarray, pool: list, rounds: int = 4, per_round:
     return CoTrained(models["text"], models["page"], float(np.log(share / (1 - share))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = 2000, pool: int = 1500) -> CoTrained | None:
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = 1500, pool: int = 1000) -> CoTrained | None:
     """Fit on at most ``labelled`` rows of labels (doc_id, quality), as many good as bad while they last, and ``pool``
     documents without a label. Several labels of an id: the least counts. None without labels of both kinds."""
     one = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(F.expr("cast(quality > 0 as int)")).alias("quality"))
@@ -136,7 +136,10 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 2000, pool: int = 15
     y = np.array([r.quality for r in rows], int)
     if len(set(y.tolist())) < 2:
         return None
-    return co_train([(r.text, r.lang, r.source) for r in rows], y, [(r.text, r.lang, r.source) for r in others if r.doc_id not in seen])
+    model = co_train([(r.text, r.lang, r.source) for r in rows], y, [(r.text, r.lang, r.source) for r in others if r.doc_id not in seen])
+    del rows, others
+    trim_memory()
+    return model
 
 
 def score(docs: DataFrame, model: CoTrained | None) -> DataFrame:
