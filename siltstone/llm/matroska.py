@@ -31,8 +31,8 @@ CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0
 DOC_TYPE, SEEK_HEAD, TAGS, CHAPTERS, ATTACHMENTS = 0x4282, 0x114D9B74, 0x1254C367, 0x1043A770, 0x1941A469
 TOP = {INFO, TRACKS, CLUSTER, CUES, SEEK_HEAD, TAGS, CHAPTERS, ATTACHMENTS, SEGMENT, EBML}
 
-FRAME, RATE, LACED, CLUSTER_BLOCKS = 576, 8000, 8, 64
-#: Nanoseconds of a timestamp unit, chosen so that a frame lasts a whole number of units.
+FRAME, RATE, LACED, CLUSTER_BLOCKS = 576, 8000, 8, 32
+#: Nanoseconds of a timestamp unit; a frame lasts a whole number of them, and a cluster fewer than 2^15.
 UNIT = 1_000_000
 
 

@@ -10,6 +10,7 @@ Fitting takes bounded samples (``labelled``, ``pool``: documented parameters); s
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -127,19 +128,30 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 1500, pool: int = 10
     known = spark.createDataFrame([(r.doc_id, r.quality) for r in picked], "doc_id long, quality int")
     columns = [F.col(c).cast("string").alias(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("text", "lang", "source")]
     page = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns)
-    rows = page.join(F.broadcast(known), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * labelled).collect()
     n = page.count()
-    # by content too, so that an id or a text that repeats can't fill the pool
+    # by content too, so that an id or a text that repeats can't fill the samples
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000))
-    others = page.where(draw < F.lit(min(1.0, 1.5 * pool / max(n, 1)) * 1_000_000)).orderBy(draw, "doc_id").limit(pool).collect()
-    seen = {r.doc_id for r in picked}
-    y = np.array([r.quality for r in rows], int)
-    if len(set(y.tolist())) < 2:
-        return None
-    model = co_train([(r.text, r.lang, r.source) for r in rows], y, [(r.text, r.lang, r.source) for r in others if r.doc_id not in seen])
-    del rows, others
-    trim_memory()
-    return model
+    rows = page.join(F.broadcast(known), "doc_id").withColumn("draw", draw).orderBy("draw", "doc_id", "text").limit(2 * labelled)
+    free = page.where(draw < F.lit(min(1.0, 1.5 * pool / max(n, 1)) * 1_000_000)).withColumns({"quality": F.lit(None).cast("int"), "draw": draw})
+    both = rows.unionByName(free.orderBy("draw", "doc_id", "text").limit(pool)).repartition(1)
+    seen = frozenset(r.doc_id for r in picked)
+
+    def fit_rows(frames):
+        import pandas as pd
+
+        pdf = pd.concat(list(frames)).astype(object).where(lambda x: x.notna(), None).sort_values(["draw", "doc_id"], kind="stable")
+        own = pdf[[q is not None for q in pdf["quality"]]]
+        rest = pdf[[q is None and d not in seen for q, d in zip(pdf["quality"], pdf["doc_id"], strict=True)]]
+        y = np.array([int(q) for q in own["quality"]], int)
+        if len(set(y.tolist())) == 2:
+            three = ["text", "lang", "source"]
+            model = co_train(list(own[three].itertuples(index=False, name=None)), y, list(rest[three].itertuples(index=False, name=None)))
+            yield pd.DataFrame({"model": [pickle.dumps(model)]})
+        trim_memory()
+
+    # a bounded sample, fitted by one task; the driver gets the weights alone
+    found = both.mapInPandas(fit_rows, "model binary").collect()
+    return pickle.loads(found[0][0]) if found else None
 
 
 def score(docs: DataFrame, model: CoTrained | None) -> DataFrame:
