@@ -14,6 +14,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from siltstone.llm.common import Scratch, table
 from siltstone.llm.jaccard import near_duplicates
@@ -50,7 +51,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scan(docs.select(*COLUMNS)).select("doc_id", F.col("redacted").alias("text"), "lang", "source", F.when(changed, F.length("redacted").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def leading_words(text: pd.Series, words: pd.Series) -> pd.Series:
     """The text up to the end of its nth word; null text stays null."""
 
