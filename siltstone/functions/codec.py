@@ -23,17 +23,17 @@ def vb_encode(n: Column) -> Column:
 
 
 def vb_decode(blob: Column) -> Column:
-    """array<bigint> of the numbers in a blob; an unfinished last number is dropped."""
-    byte = lambda i: F.conv(F.hex(F.substring(blob, i, F.lit(1))), 16, 10).cast("bigint")
-    bytes_ = F.when(F.length(blob) > 0, F.transform(F.sequence(F.lit(1), F.length(blob)), byte)).otherwise(F.array().cast("array<bigint>"))
-    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.array().cast("array<bigint>").alias("out"))
+    """array<bigint> of the numbers in a blob, in time linear in its length. Decoding ends at an unfinished last number or
+    at a code of more than nine bytes, which no number of vb_encode has."""
+    codes = F.regexp_extract_all(F.hex(blob), F.lit(r"\G((?:[0-7][0-9A-F]){0,8}[89A-F][0-9A-F])"), F.lit(1))
 
-    def step(acc: Column, b: Column) -> Column:
-        n = acc["n"] * 128 + b.bitwiseAND(F.lit(127))
-        last = b >= 128
-        return F.struct(F.when(last, F.lit(0).cast("bigint")).otherwise(n).alias("n"), F.when(last, F.concat(acc["out"], F.array(n))).otherwise(acc["out"]).alias("out"))
+    def number(code: Column) -> Column:
+        low = F.conv(F.right(code, F.lit(16)), 16, 10).cast("bigint")
+        groups = [F.shiftleft(F.shiftrightunsigned(low, 8 * k).bitwiseAND(F.lit(127)), 7 * k) for k in range(8)]
+        ninth = F.when(F.length(code) > 16, F.shiftleft(F.conv(F.left(code, F.lit(2)), 16, 10).cast("bigint"), 56)).otherwise(F.lit(0))
+        return sum(groups[1:], groups[0]) + ninth
 
-    return F.aggregate(bytes_, start, step, lambda acc: acc["out"])
+    return F.transform(codes, number)
 
 
 def with_gaps(postings: DataFrame) -> DataFrame:
@@ -60,8 +60,9 @@ def decompress(compressed: DataFrame, with_df: bool = False) -> DataFrame:
     at = 1 if with_df else 0
     numbers = compressed.select("term", "df", vb_decode(F.col("blob")).alias("x"))
     whole = numbers.where(F.size("x") == 2 * F.col("df") + at)
-    pairs = whole.select("term", "x", F.posexplode(F.sequence(F.lit(at + 1), F.size("x") - 1, F.lit(2))).alias("i", "k"))
-    gaps = pairs.select("term", "i", F.element_at("x", F.col("k")).alias("gap"), F.element_at("x", F.col("k") + 1).alias("tf"))
+    places = F.expr(f"if(size(x) > {at}, sequence({at}, size(x) - 2, 2), array())")
+    pairs = F.transform(places, lambda k: F.struct(F.get("x", k).alias("gap"), F.get("x", k + 1).alias("tf")))
+    gaps = whole.select("term", F.posexplode(pairs).alias("i", "p")).select("term", "i", "p.gap", "p.tf")
     return from_gaps(gaps, "i").select("term", "doc_id", "tf")
 
 

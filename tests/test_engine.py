@@ -105,6 +105,8 @@ def test_codec_vectors(spark):
     assert sorted(codec.decompress(codec.compress(p, True), True).collect()) == sorted(p.collect())
     cut = packed.withColumn("blob", F.expr("substring(blob, 1, length(blob) - 1)"))
     assert codec.decompress(cut).count() == 0
+    odd = spark.sql("select unhex(h) as b, want from values ('81010801', array(1L)), ('8201', array(2L)), (repeat('01', 12) || '81', cast(array() as array<bigint>)), (null, null) as t(h, want)")
+    assert all(r[0] == r.want for r in odd.select(codec.vb_decode(F.col("b")), "want").collect())
     assert spark.sql("select cast('' as binary) as b").select(codec.vb_decode(F.col("b"))).first()[0] == []
 
 
