@@ -22,12 +22,14 @@ def fold(name: str):
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit(""))) % 4
 
 
-def bounded_sample(rows: DataFrame, label: str, sample: int, tie: list[str]) -> DataFrame:
-    """At most ``sample`` rows, about as many of each label: by hash, so that reruns agree.
+def label_sizes(rows: DataFrame, label: str) -> dict:
+    """Rows of each label. The number of labels is that of a closed set; their counts come to the driver."""
+    return {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
 
-    The number of labels is that of a closed set; their counts come to the driver.
-    """
-    sizes = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+
+def bounded_sample(rows: DataFrame, label: str, sample: int, tie: list[str], sizes: dict | None = None) -> DataFrame:
+    """At most ``sample`` rows, about as many of each label: by hash, so that reruns agree. ``sizes``: label_sizes."""
+    sizes = label_sizes(rows, label) if sizes is None else sizes
     if not sizes:
         return rows.limit(0)
     each = max(1, sample // len(sizes))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import table, trim_memory
-from .langid import bounded_sample
+from .langid import bounded_sample, label_sizes
 from .linear import Linear, counts, row_logits, temperature, train
 
 META_BITS, TEXT_BITS = 12, 18
@@ -61,7 +61,7 @@ def page_features(text: str | None, lang: str | None, source: str | None) -> np.
 class CoTrained:
     text: Linear
     page: Linear
-    prior: float  # log-odds of good quality among the labels; either view is trained on balanced classes
+    prior: float  # log-odds of good quality among all labels, sampled or not; either view is trained on balanced classes
 
     def odds(self, texts: list[str | None], langs: list, sources: list) -> tuple[np.ndarray, np.ndarray]:
         """Calibrated log-odds of good quality from each view."""
@@ -71,8 +71,8 @@ class CoTrained:
         return (a[:, 1] - a[:, 0]) / self.text.temperature, (b[:, 1] - b[:, 0]) / self.page.temperature
 
 
-def co_train(rows: list, y: np.ndarray, pool: list, rounds: int = 4, per_round: int = 40) -> CoTrained:
-    """rows and pool: (text, lang, source). Every fourth labelled row is left for calibration."""
+def co_train(rows: list, y: np.ndarray, pool: list, good: float, rounds: int = 4, per_round: int = 40) -> CoTrained:
+    """rows and pool: (text, lang, source); good: share of good quality among all labels. Every fourth labelled row is left for calibration."""
     features = {
         "text": (counts([r[0] or "" for r in rows], "all", TEXT_BITS), counts([r[0] or "" for r in pool], "all", TEXT_BITS)),
         "page": tuple([(f, np.ones(len(f), np.int64)) for f in (page_features(*r) for r in part)] for part in (rows, pool)),
@@ -93,7 +93,6 @@ def co_train(rows: list, y: np.ndarray, pool: list, rounds: int = 4, per_round:
         return train(x, labels, 2, weight=0.5 / np.maximum(share[labels], 1e-9), **setting[view])
 
     models = {v: fitted(v) for v in given}
-    good = float(y[base].mean())
     for _ in range(rounds):
         chosen: dict[str, list[tuple[int, int]]] = {"text": [], "page": []}
         for view, other in (("text", "page"), ("page", "text")):
@@ -113,7 +112,7 @@ def co_train(rows: list, y: np.ndarray, pool: list, rounds: int = 4, per_round:
     for v, model in models.items():
         at = np.flatnonzero(held)
         model.temperature = temperature(row_logits(model, [features[v][0][i] for i in at]), y[at])
-    share = float(np.clip(y.mean(), 0.01, 0.99))
+    share = float(np.clip(good, 0.01, 0.99))
     return CoTrained(models["text"], models["page"], float(np.log(share / (1 - share))))
 
 
@@ -121,7 +120,9 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 1500, pool: int = 10
     """Fit on at most ``labelled`` rows of labels (doc_id, quality), as many good as bad while they last, and ``pool``
     documents without a label. Several labels of an id: the least counts. None without labels of both kinds."""
     one = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(F.expr("cast(quality > 0 as int)")).alias("quality"))
-    picked = bounded_sample(one, "quality", labelled, ["doc_id"]).collect()  # at most ``labelled`` ids
+    sizes = label_sizes(one, "quality")
+    good = sizes.get(1, 0) / max(sum(sizes.values()), 1)  # of the sample it would move with the number of labels
+    picked = bounded_sample(one, "quality", labelled, ["doc_id"], sizes).collect()  # at most ``labelled`` ids
     if len({r.quality for r in picked}) < 2:
         return None
     spark = docs.sparkSession
@@ -145,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 1500, pool: int = 10
         y = np.array([int(q) for q in own["quality"]], int)
         if len(set(y.tolist())) == 2:
             three = ["text", "lang", "source"]
-            model = co_train(list(own[three].itertuples(index=False, name=None)), y, list(rest[three].itertuples(index=False, name=None)))
+            model = co_train(list(own[three].itertuples(index=False, name=None)), y, list(rest[three].itertuples(index=False, name=None)), good)
             yield pd.DataFrame({"model": [pickle.dumps(model)]})
         trim_memory()
 
