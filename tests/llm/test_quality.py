@@ -1,5 +1,6 @@
 """The fit of op9 on tables of different sizes."""
 
+import inspect
 import math
 import random
 
@@ -20,3 +21,7 @@ def test_prior_is_that_of_all_labels(spark):
     for n, labelled in ((200, 2000), (800, 2000), (800, 100)):
         docs, labels = tables(spark, n)
         assert abs(quality.fit(docs, labels, labelled=labelled).prior - want) < 1e-9
+
+
+def test_sample_is_as_large_as_before_the_cut():
+    assert inspect.signature(quality.fit).parameters["labelled"].default >= 2000
