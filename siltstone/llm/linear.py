@@ -36,15 +36,16 @@ def _table(kind: str) -> np.ndarray:
     return worker_state(f"table {kind}", make)
 
 
-def pieces(texts: list[str], limit: int = PIECE) -> Iterator[tuple[list[int], list[str]]]:
-    """Batches of at most ``limit`` code points: which text each part belongs to, and the parts."""
+def pieces(texts: list[str], limit: int = PIECE, batch: int | None = None) -> Iterator[tuple[list[int], list[str]]]:
+    """Batches of at most ``batch`` code points (``limit`` if not given) or one part: which text each part belongs to, and
+    the parts, of at most ``limit`` code points."""
     owners: list[int] = []
     parts: list[str] = []
     size = 0
     for i, text in enumerate(texts):
         for at in range(0, len(text), limit):
             part = text[at : at + limit]
-            if size + len(part) > limit and parts:
+            if size + len(part) > (batch or limit) and parts:
                 yield owners, parts
                 owners, parts, size = [], [], 0
             owners.append(i)
@@ -127,6 +128,17 @@ class Linear:
             np.add.at(size, owners, n)
         return total / np.maximum(size + self.shrink, 1)[:, None] + self.bias
 
+    def text_odds(self, texts: list[str], kind: str) -> np.ndarray:
+        """The second class's logit less the first's."""
+        gain = self.weights.astype(np.float64) @ [-1.0, 1.0]
+        gain, bits = gain[self.row], len(self.row).bit_length() - 1
+        total, size = np.zeros(len(texts)), np.zeros(len(texts))
+        for owners, parts in pieces(texts, batch=1 << 15):
+            feature, doc = grams(parts, kind, bits)
+            np.add.at(total, owners, np.bincount(doc, gain[feature], len(parts)))
+            np.add.at(size, owners, np.bincount(doc, minlength=len(parts)))
+        return total / np.maximum(size + self.shrink, 1) + self.bias[1] - self.bias[0]
+
     def share(self, logits: np.ndarray) -> np.ndarray:
         return softmax(logits / self.temperature)
 

@@ -1,17 +1,20 @@
 """Quality classifier by co-training of two views.
 
 The text view sees hashed character n-grams; the page view sees metadata: source, language, length, lines and the make-up
-of the page, in buckets. Each is a sparse logistic regression. Over several rounds each view labels the documents of an
-unlabelled pool that it is surest of, good and bad in the ratio of the labels, and hands them to the other view's
-training set. Both are then calibrated on labelled rows that neither has seen, and the calibrated log-odds are added to those of the labels.
+of the page, in buckets. Each is a sparse logistic regression. Over several rounds each view scores all documents
+without a label, labels those that it is surest of, good and bad in the ratio of the labels, and hands them to the other
+view's training set; their number grows with the square root of the documents'. Both are then calibrated on labelled rows that neither has seen, and the calibrated log-odds are added to those of the labels.
 
-Fitting takes bounded samples (``labelled``, ``pool``: documented parameters); scoring covers every whole document.
+Fitting takes a bounded sample of labelled rows (``labelled``, a documented parameter); the search for documents to label
+and the scores cover every whole document.
 """
 
 from __future__ import annotations
 
 import pickle
 from dataclasses import dataclass
+from functools import reduce
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import table, trim_memory
+from .common import Scratch, table, trim_memory
 from .langid import bounded_sample, label_sizes
 from .linear import Linear, counts, row_logits, temperature, train
 
@@ -62,97 +65,161 @@ class CoTrained:
     text: Linear
     page: Linear
     prior: float  # log-odds of good quality among all labels, sampled or not; either view is trained on balanced classes
+    pseudo: int = 0  # labels that the views gave each other
 
     def odds(self, texts: list[str | None], langs: list, sources: list) -> tuple[np.ndarray, np.ndarray]:
         """Calibrated log-odds of good quality from each view."""
         full = [t or "" for t in texts]
-        a = self.text.text_logits(full, "all")
+        a = self.text.text_odds(full, "all")
         b = row_logits(self.page, [(f, np.ones(len(f))) for f in (page_features(*x) for x in zip(texts, langs, sources, strict=True))])
-        return (a[:, 1] - a[:, 0]) / self.text.temperature, (b[:, 1] - b[:, 0]) / self.page.temperature
+        return a / self.text.temperature, (b[:, 1] - b[:, 0]) / self.page.temperature
 
 
-def co_train(rows: list, y: np.ndarray, pool: list, good: float, rounds: int = 4, per_round: int = 40) -> CoTrained:
-    """rows and pool: (text, lang, source); good: share of good quality among all labels. Every fourth labelled row is left for calibration."""
-    features = {
-        "text": (counts([r[0] or "" for r in rows], "all", TEXT_BITS), counts([r[0] or "" for r in pool], "all", TEXT_BITS)),
-        "page": tuple([(f, np.ones(len(f), np.int64)) for f in (page_features(*r) for r in part)] for part in (rows, pool)),
-    }
+def co_train(rows: list, y: np.ndarray, given: dict[str, tuple[list, list[int]]], good: float) -> CoTrained:
+    """rows: (text, lang, source); y: their labels; given: documents and pseudo-labels that a view got from the other;
+    good: share of good quality among all labels. Every fourth labelled row is left for calibration."""
     held = np.arange(len(rows)) % 4 == 3
     if len(set(y[~held].tolist())) < 2 or not held.any():
         held[:] = False
-    base = np.flatnonzero(~held)
-    given: dict[str, list[tuple[int, int]]] = {"text": [], "page": []}
-    taken: set[int] = set()
+    base, at = np.flatnonzero(~held), np.flatnonzero(held)
     setting = {"text": {"bits": TEXT_BITS}, "page": {"bits": META_BITS, "scale": 12.0, "shrink": 0.0}}
 
     def fitted(view: str) -> Linear:
-        own, other = features[view]
-        x = [own[i] for i in base] + [other[i] for i, _ in given[view]]
-        labels = np.concatenate([y[base], np.array([c for _, c in given[view]], int)]).astype(int)
+        docs, pseudo = given[view]
+        if view == "text":
+            x = counts([r[0] or "" for r in [*rows, *docs]], "all", TEXT_BITS)
+        else:
+            x = [(f, np.ones(len(f), np.int64)) for f in (page_features(*r) for r in [*rows, *docs])]
+        labels = np.concatenate([y[base], np.array(pseudo, int)]).astype(int)
         share = np.bincount(labels, minlength=2) / len(labels)
-        return train(x, labels, 2, weight=0.5 / np.maximum(share[labels], 1e-9), **setting[view])
-
-    models = {v: fitted(v) for v in given}
-    for _ in range(rounds):
-        chosen: dict[str, list[tuple[int, int]]] = {"text": [], "page": []}
-        for view, other in (("text", "page"), ("page", "text")):
-            z = row_logits(models[view], features[view][1])
-            odds = z[:, 1] - z[:, 0]
-            free = [i for i in np.argsort(odds, kind="stable").tolist() if i not in taken]
-            n_bad = min(len(free), max(1, round(per_round * (1 - good))))
-            bad = [(i, 0) for i in free[:n_bad] if odds[i] < 0]
-            best = [(i, 1) for i in free[::-1][: max(1, per_round - n_bad)] if odds[i] > 0]
-            chosen[other] += bad + best
-            taken.update(i for i, _ in bad + best)
-        if not taken or not any(chosen.values()):
-            break
-        for view in given:
-            given[view] += chosen[view]
-        models = {v: fitted(v) for v in given}
-    for v, model in models.items():
-        at = np.flatnonzero(held)
-        model.temperature = temperature(row_logits(model, [features[v][0][i] for i in at]), y[at])
+        model = train([x[i] for i in base] + x[len(rows) :], labels, 2, weight=0.5 / np.maximum(share[labels], 1e-9), **setting[view])
+        model.temperature = temperature(row_logits(model, [x[i] for i in at]), y[at])
+        return model
+
     share = float(np.clip(good, 0.01, 0.99))
-    return CoTrained(models["text"], models["page"], float(np.log(share / (1 - share))))
+    return CoTrained(fitted("text"), fitted("page"), float(np.log(share / (1 - share))), sum(len(c) for _, c in given.values()))
+
+
+def fit_once(rows: DataFrame, good: float) -> CoTrained | None:
+    """Fit on rows (doc_id, text, lang, source, draw, key, label, view): labelled ones have no view. By one task; the
+    driver gets the weights alone."""
+
+    def run(frames):
+        import pandas as pd
+
+        pdf = pd.concat(list(frames)).astype(object).where(lambda x: x.notna(), None).sort_values(["draw", "doc_id", "key"], kind="stable")
+        part = lambda x: (list(x[["text", "lang", "source"]].itertuples(index=False, name=None)), [int(c) for c in x["label"]])
+        own, y = part(pdf[[v is None for v in pdf["view"]]])
+        if len(set(y)) == 2:
+            yield pd.DataFrame({"model": [pickle.dumps(co_train(own, np.array(y, int), {v: part(pdf[[x == v for x in pdf["view"]]]) for v in ("text", "page")}, good))]})
+        trim_memory()
+
+    found = rows.repartition(1).mapInPandas(run, "model binary").collect()
+    return pickle.loads(found[0][0]) if found else None
+
+
+def mapped(docs: DataFrame, keep: str, out: str, make) -> DataFrame:
+    """The column ``keep`` of docs and, as column ``out`` ("name type"), what make(batch) has for its rows."""
+    place = docs.columns.index(keep)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                yield pa.RecordBatch.from_arrays([some.column(place), make(some)], [keep, out.split()[0]])
+
+    return docs.mapInArrow(run, f"{keep} long, {out}")
+
+
+def views(page: DataFrame, pool: DataFrame, model: CoTrained) -> DataFrame:
+    """(key, text, page): log-odds of each key of pool (key, features) from either view; texts come from page."""
+    weight = (model.page.weights.astype(np.float64) @ [-1.0, 1.0])[model.page.row]
+    bias, shrink = model.page.bias[1] - model.page.bias[0], model.page.shrink
+
+    def by_page(batch):
+        lists = batch.column(1)
+        size = np.diff(lists.offsets.to_numpy())
+        sums = np.bincount(np.repeat(np.arange(len(size)), size), weight[lists.flatten().to_numpy()], len(size))
+        return pa.array(sums / np.maximum(size + shrink, 1) + bias)
+
+    def by_text(batch):
+        return pa.array(model.text.text_odds([t or "" for t in batch.column(1).to_pylist()], "all"))
+
+    text = mapped(page.select("key", "text"), "key", "text double", by_text).groupBy("key").agg(F.min("text").alias("text"))
+    return mapped(pool.select("key", "features"), "key", "page double", by_page).join(text, "key").select("key", "text", "page")
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = 2000, pool: int = 1500) -> CoTrained | None:
-    """Fit on at most ``labelled`` rows of labels (doc_id, quality), as many good as bad while they last, and ``pool``
-    documents without a label. Several labels of an id: the least counts. None without labels of both kinds."""
-    one = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(F.expr("cast(quality > 0 as int)")).alias("quality"))
+def surest(scored: DataFrame, taken: DataFrame, n_bad: int, n_good: int) -> dict[str, list[tuple[int, int]]]:
+    """For each view, what it hands to the other: the (key, label) of the bad and the good ones that it is surest of, among all rows
+    (key, text, page) of scored without those in taken (key). What the text view takes the page view can't."""
+    free = scored.join(F.broadcast(taken), "key", "left_anti")
+    parts = []
+    for view, more in (("text", 0), ("page", n_bad + n_good)):
+        for label, n, order in ((0, n_bad, F.col(view)), (1, n_good, -F.col(view))):
+            top = free.where(order < 0).select("key", F.lit(view).alias("view"), F.lit(label).alias("label"), order.alias("place"))
+            parts.append(top.orderBy("place", "key").limit(n + more))
+    found = sorted(reduce(DataFrame.unionByName, parts).collect(), key=lambda r: (r.view == "page", r.label, r.place, r.key))
+    out: dict[str, list[tuple[int, int]]] = {"text": [], "page": []}
+    used: set[int] = set()
+    left = {(v, c): n for v in out for c, n in ((0, n_bad), (1, n_good))}
+    for r in found:
+        if r.key not in used and left[r.view, r.label]:
+            left[r.view, r.label] -= 1
+            used.add(r.key)
+            out["page" if r.view == "text" else "text"].append((r.key, r.label))
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = 2000, rounds: int = 4, per_round: int = 40) -> CoTrained | None:
+    """Fit on at most ``labelled`` rows of labels (doc_id, quality), as many good as bad while they last, and on what
+    the views hand to each other. In each round either view scores all documents without a label, equal ones as one,
+    and hands over as many as the square root of their number, at least ``per_round``. Several labels of an id: the
+    least counts. None without labels of both kinds."""
+    one = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.expr("cast(quality > 0 as int)")).alias("quality"))
     sizes = label_sizes(one, "quality")
     good = sizes.get(1, 0) / max(sum(sizes.values()), 1)  # of the sample it would move with the number of labels
     picked = bounded_sample(one, "quality", labelled, ["doc_id"], sizes).collect()  # at most ``labelled`` ids
     if len({r.quality for r in picked}) < 2:
         return None
     spark = docs.sparkSession
-    known = spark.createDataFrame([(r.doc_id, r.quality) for r in picked], "doc_id long, quality int")
-    columns = [F.col(c).cast("string").alias(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("text", "lang", "source")]
-    page = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns)
-    n = page.count()
-    # by content too, so that an id or a text that repeats can't fill the samples
+    scratch = Scratch(spark, "quality")
+    known = spark.createDataFrame([(r.doc_id, r.quality) for r in picked], "doc_id long, label int")
+    three = ("text", "lang", "source")
+    columns = [F.col(c).cast("string").alias(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in three]
+    page = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns).withColumn("key", F.xxhash64(*[x for c in three for x in (F.col(c), F.col(c).isNull())]))
+    # by content too, so that an id or a text that repeats can't fill the sample
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000))
-    rows = page.join(F.broadcast(known), "doc_id").withColumn("draw", draw).orderBy("draw", "doc_id", "text").limit(2 * labelled)
-    free = page.where(draw < F.lit(min(1.0, 1.5 * pool / max(n, 1)) * 1_000_000)).withColumns({"quality": F.lit(None).cast("int"), "draw": draw})
-    both = rows.unionByName(free.orderBy("draw", "doc_id", "text").limit(pool)).repartition(1)
-    seen = frozenset(r.doc_id for r in picked)
-
-    def fit_rows(frames):
-        import pandas as pd
+    own = page.join(F.broadcast(known), "doc_id").withColumn("draw", draw).orderBy("draw", "doc_id", "text").limit(2 * labelled)
+    rows = scratch.table(own.select("doc_id", *three, "draw", "key", "label", F.lit(None).cast("string").alias("view")), "rows0")
+    model = fit_once(rows, good)
+    if model is None:
+        return None
 
-        pdf = pd.concat(list(frames)).astype(object).where(lambda x: x.notna(), None).sort_values(["draw", "doc_id"], kind="stable")
-        own = pdf[[q is not None for q in pdf["quality"]]]
-        rest = pdf[[q is None and d not in seen for q, d in zip(pdf["quality"], pdf["doc_id"], strict=True)]]
-        y = np.array([int(q) for q in own["quality"]], int)
-        if len(set(y.tolist())) == 2:
-            three = ["text", "lang", "source"]
-            model = co_train(list(own[three].itertuples(index=False, name=None)), y, list(rest[three].itertuples(index=False, name=None)), good)
-            yield pd.DataFrame({"model": [pickle.dumps(model)]})
-        trim_memory()
+    def features(batch):
+        found = [page_features(*x) for x in zip(*(batch.column(i).to_pylist() for i in range(1, 4)), strict=True)]
+        ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*found, np.empty(0, np.int64)]).astype(np.int16)))
 
-    # a bounded sample, fitted by one task; the driver gets the weights alone
-    found = both.mapInPandas(fit_rows, "model binary").collect()
-    return pickle.loads(found[0][0]) if found else None
+    # the content of all documents without a label, and what the page view sees of it
+    free = page.select("doc_id", "key").join(one.select("doc_id"), "doc_id", "left_anti").select("key").distinct()
+    seen = mapped(page.select("key", *three), "key", "features array<short>", features).groupBy("key").agg(F.first("features").alias("features"))
+    pool = scratch.table(free.join(seen, "key"), "pool")
+    n = pool.count()
+    more = max(per_round, isqrt(n))
+    n_bad = min(max(1, round(more * (1 - good))), more - 1)
+    taken: list[tuple[int]] = []
+    for k in range(1, rounds + 1):
+        chosen = surest(scratch.table(views(page, pool, model), f"scored{k}"), spark.createDataFrame(taken, "key long"), n_bad, more - n_bad)
+        scratch.drop(f"scored{k}")
+        new = [(key, label, view) for view, found in chosen.items() for key, label in found]
+        if not new:
+            break
+        taken += [(key,) for key, *_ in new]
+        given = page.join(F.broadcast(spark.createDataFrame(new, "key long, label int, view string")), "key").dropDuplicates(["key"])
+        rows = rows.unionByName(scratch.table(given.select("doc_id", *three, F.lit(k).cast("long").alias("draw"), "key", "label", "view"), f"rows{k}"))
+        model = fit_once(rows, good)
+    scratch.drop("pool", *[f"rows{k}" for k in range(rounds + 1)])
+    return model
 
 
 def score(docs: DataFrame, model: CoTrained | None) -> DataFrame:

@@ -25,3 +25,23 @@ def test_prior_is_that_of_all_labels(spark):
 
 def test_sample_is_as_large_as_before_the_cut():
     assert inspect.signature(quality.fit).parameters["labelled"].default >= 2000
+
+
+def test_all_documents_without_a_label_are_candidates(spark):
+    rnd = random.Random(4)
+    rows = [(k, rnd.uniform(-3, 3), rnd.choice([-2.0, -1.0, 1.0, 2.0])) for k in range(3000)]
+    scored = spark.createDataFrame(rows, "key long, text double, page double").repartition(5)
+    got = quality.surest(scored, spark.createDataFrame([(k,) for k in range(0, 3000, 2)], "key long"), 30, 50)
+    free = [r for r in rows if r[0] % 2]
+    want = {"page": [(k, 0) for k, *_ in sorted(free, key=lambda r: r[1])[:30]] + [(k, 1) for k, *_ in sorted(free, key=lambda r: -r[1])[:50]]}
+    free = [r for r in free if r[0] not in {k for k, _ in want["page"]}]
+    want["text"] = [(k, 0) for k, *_ in sorted(free, key=lambda r: (r[2], r[0]))[:30]] + [(k, 1) for k, *_ in sorted(free, key=lambda r: (-r[2], r[0]))[:50]]
+    assert got == want
+
+
+def test_pseudo_labels_grow_with_the_documents(spark):
+    docs, labels = tables(spark, 6000)
+    copies = docs.where("doc_id = 5999").crossJoin(spark.range(500).select("id")).selectExpr("10000 + id as doc_id", "text", "lang", "source")
+    model = quality.fit(docs.union(copies), labels.where("doc_id < 300"), rounds=2)
+    # 5700 texts without a label, of which each view hands over 75 a round; 500 copies of one count once
+    assert model.pseudo == 2 * 2 * 75
