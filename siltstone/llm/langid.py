@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import table, trim_memory, utf8
 from .linear import Linear, counts, row_logits, temperature, train
@@ -28,8 +29,9 @@ def label_sizes(rows: DataFrame, label: str) -> dict:
 
 
 def bounded_sample(rows: DataFrame, label: str, sample: int, tie: list[str], sizes: dict | None = None) -> DataFrame:
-    """At most ``sample`` rows, about as many of each label: by hash, so that reruns agree. ``sizes``: label_sizes."""
-    sizes = label_sizes(rows, label) if sizes is None else sizes
+    """At most ``sample`` rows, about as many of each label: by hash, so that reruns agree. Rows equal in ``tie`` are
+    one; an excess is cut within its label. ``sizes``: label_sizes of the distinct rows."""
+    sizes = label_sizes(rows.select(label, F.xxhash64(*tie)).distinct(), label) if sizes is None else sizes
     if not sizes:
         return rows.limit(0)
     each = max(1, sample // len(sizes))
@@ -37,7 +39,9 @@ def bounded_sample(rows: DataFrame, label: str, sample: int, tie: list[str], siz
     chance = F.lit(None).cast("double")
     for value, n in sizes.items():
         chance = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, each / n) * 1_000_000)).otherwise(chance)
-    return rows.withColumn("_draw", draw).where(F.col("_draw") < chance).orderBy("_draw", *tie).limit(sample).drop("_draw")
+    drawn = rows.withColumn("_draw", draw).where(F.col("_draw") < chance).dropDuplicates([*dict.fromkeys([label, *tie])])
+    place = F.row_number().over(Window.partitionBy(label).orderBy("_draw", *tie))
+    return drawn.withColumn("_place", place).where(F.col("_place") <= each).orderBy("_draw", *tie).limit(sample).drop("_draw", "_place")
 
 
 def fit(docs: DataFrame, sample: int = 3000, bits: int = 18) -> tuple[Linear, list[str]] | None:
