@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Documents that a block of a posting list spans.
+BLOCK_DOCS = 1 << 16
+
+
 def vb_hex(n: Column) -> Column:
     """Hex of the code of a number from 0 to 2^63 - 1."""
     byte = lambda x: F.lpad(F.hex(x), 2, "0")
@@ -48,7 +52,8 @@ def from_gaps(gaps: DataFrame, order: str) -> DataFrame:
 
 
 def compress(postings: DataFrame, with_df: bool = False) -> DataFrame:
-    """(term, df, cf, blob): one blob a term; ``with_df`` puts the code of df before it."""
+    """(term, df, cf, blob): one blob a term; ``with_df`` puts the code of df before it. A list is one value here and must
+    stay below 2 GB; ``compress_blocks`` has no such bound, and indexes on disk store blocks."""
     coded = with_gaps(postings).select("term", "doc_id", "tf", F.concat(vb_hex(F.col("gap")), vb_hex(F.col("tf"))).alias("code"))
     lists = coded.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.sort_array(F.collect_list(F.struct("doc_id", "code"))).alias("l"))
     codes = F.array_join(F.col("l.code"), "")
@@ -66,6 +71,36 @@ def decompress(compressed: DataFrame, with_df: bool = False) -> DataFrame:
     return from_gaps(gaps, "i").select("term", "doc_id", "tf")
 
 
+def compress_blocks(postings: DataFrame, docs: int = BLOCK_DOCS) -> DataFrame:
+    """(term, block, df, cf, blob): a term's documents from block * docs on, up to the next block. The first gap is taken
+    from there, so that a block is read without the others and no list is gathered whole."""
+    by_block = postings.withColumn("block", F.expr(f"doc_id div {docs}L")).groupBy("term", "block")
+    lists = by_block.agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.sort_array(F.collect_list(F.struct("doc_id", "tf"))).alias("l"))
+    before = F.concat(F.array(F.col("block") * docs), F.col("l.doc_id"))
+    codes = F.transform("l", lambda x, i: F.concat(vb_hex(x["doc_id"] - F.get("before", i)), vb_hex(x["tf"])))
+    return lists.withColumn("before", before).select("term", "block", "df", "cf", F.unhex(F.array_join(codes, "")).alias("blob"))
+
+
+def running(numbers: Column, start: Column, part: int = 64) -> Column:
+    """start plus the sums of the first one, two, ... numbers of an array, within the row: parts of a fixed size are summed
+    apart and shifted by the parts before them, as an array that grows by one is copied each time."""
+    grown = lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x)
+    total = lambda p: F.aggregate(p, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    first = F.filter(F.sequence(F.lit(0), F.size(numbers)), lambda i: (i % part == 0) & (i < F.size(numbers)))
+    parts = F.transform(first, lambda i: F.slice(numbers, i + 1, part))
+    starts = F.aggregate(parts, F.array(start), lambda acc, p: grown(acc, total(p)))
+    return F.flatten(F.transform(parts, lambda p, i: F.slice(F.aggregate(p, F.array(F.get(starts, i)), grown), 2, part)))
+
+
+def decompress_blocks(blocks: DataFrame, docs: int = BLOCK_DOCS) -> DataFrame:
+    """(term, doc_id, tf). A blob that doesn't hold df whole pairs is damaged and gives no rows."""
+    numbers = blocks.select("term", "block", "df", vb_decode(F.col("blob")).alias("x")).where(F.size("x") == 2 * F.col("df"))
+    every = lambda r: F.filter("x", lambda _, i: i % 2 == r)
+    halves = numbers.select("term", "block", every(0).alias("gaps"), every(1).alias("tfs"))
+    pairs = F.arrays_zip(running(F.col("gaps"), F.col("block") * docs).alias("doc_id"), F.col("tfs").alias("tf"))
+    return halves.select("term", F.explode(pairs).alias("p")).select("term", F.col("p.doc_id").alias("doc_id"), F.col("p.tf").alias("tf"))
+
+
 def skip_entries(postings: DataFrame) -> DataFrame:
     """(term, doc_id, nth, byte_offset): an entry at every floor(sqrt(df))-th posting but the first, for terms with more
     postings than that. byte_offset: where the posting's code begins in the term's blob."""

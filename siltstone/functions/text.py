@@ -40,5 +40,25 @@ def stripped(text: Column) -> Column:
 
 
 def stop_words_removed(toks: Column, words: list[str]) -> Column:
-    """Extension: tokens that are not in a list."""
-    return F.array_except(toks, F.array(*map(F.lit, words))) if not words else F.filter(toks, lambda t: ~t.isin(words))
+    """Extension: tokens that are not in a list, with their order and repeats."""
+    return F.filter(toks, lambda t: ~t.isin(list(words))) if words else toks
+
+
+def tokenizer(stop_words: list[str] | None = None, alphabetic: bool = False, least: int = 1, stem: Callable[[Column], Column] | None = None) -> Tokenizer:
+    """Extension: a tokenizer with options, to be given to an index. ``alphabetic`` keeps tokens of letters alone,
+    ``least`` those of so many characters; ``stem`` maps the remaining tokens, one by one."""
+
+    def run(text: Column) -> Column:
+        toks = stop_words_removed(tokens(text), stop_words or [])
+        if alphabetic:
+            toks = F.filter(toks, lambda t: ~t.rlike("[0-9]"))
+        if least > 1:
+            toks = F.filter(toks, lambda t: F.length(t) >= least)
+        return F.transform(toks, stem) if stem else toks
+
+    return run
+
+
+def term_key(term: Column) -> Column:
+    """A name for a term that is safe in paths: the md5 of its UTF-8, in hex."""
+    return F.md5(term.cast("binary"))

@@ -44,6 +44,18 @@ class Index:
         row = self.terms(term).where(F.col("doc_id") == doc_id).select("tf").first()
         return row[0] if row else 0
 
+    def query_tokens(self, query: str | None) -> list[str]:
+        """The tokens of a query, by the index's own tokenizer."""
+        if self.tokenizer is text.tokens:
+            return text.query_tokens(query)
+        return self.postings.sparkSession.range(1).select(self.tokenizer(F.lit(query or ""))).first()[0]
+
+    def add(self, doc_id: int, title: str | None, plot: str | None, **options) -> Index:
+        """The index with one document more; many are better built at once and united."""
+        one = self.postings.sparkSession.createDataFrame([(doc_id, title, plot)], "doc_id long, title string, plot string")
+        new = build(one, tokenizer=self.tokenizer, **options)
+        return Index(self.postings.unionByName(new.postings), self.doc_stats.unionByName(new.doc_stats), self.tokenizer)
+
     def as_map(self, term: str) -> DataFrame:
         """One row (term, postings map<doc_id, tf>)."""
         return self.terms(term).groupBy("term").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("doc_id", "tf")))).alias("postings"))
@@ -69,12 +81,20 @@ def token_rows(docs: DataFrame, **options) -> DataFrame:
     return tokenized(docs, **options).select("doc_id", F.posexplode("tokens").alias("pos", "term")).select("doc_id", F.col("pos").cast("long").alias("pos"), "term")
 
 
+def postings_of(toks: DataFrame) -> DataFrame:
+    """(term, doc_id, tf) of tokenized documents. A document's terms are counted before any shuffle, as all come from one
+    row; documents that lie dealt by doc_id need none."""
+    return toks.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+
+
+def stats_of(toks: DataFrame) -> DataFrame:
+    return toks.select("doc_id", "title", F.size("tokens").cast("long").alias("doc_len"))
+
+
 def build(docs: DataFrame, fields: tuple[str, ...] = ("title", "plot"), tokenizer: text.Tokenizer = text.tokens, pandas_nulls: bool = False) -> Index:
-    """Index of documents (doc_id, title, plot). A document's terms are counted before the shuffle, as all of them come
-    from one row."""
+    """Index of documents (doc_id, title, plot)."""
     toks = tokenized(docs, fields, tokenizer, pandas_nulls)
-    postings = toks.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    return Index(postings, toks.select("doc_id", "title", F.size("tokens").cast("long").alias("doc_len")), tokenizer)
+    return Index(postings_of(toks), stats_of(toks), tokenizer)
 
 
 def overlay(main: DataFrame, aux: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Indexes on disk: immutable snapshots, added segments and tombstones under a versioned manifest.
 
 A change writes new Parquet folders and then commits the next manifest by a rename that never overwrites. A folder that
-no manifest lists is as if it weren't there, so a failed or repeated job leaves the index as it was.
+no manifest lists is as if it weren't there, so a failed or repeated job leaves the index as it was. Added segments are
+merged in tiers, so that a posting is rewritten about log(n) times; ``merge`` makes one snapshot of everything.
 """
 
 from __future__ import annotations
@@ -15,101 +16,177 @@ from pyspark.sql import functions as F
 from siltstone.functions import codec, text
 from siltstone.sources.readers import dense_ids
 
-from .index import Index, build, without
+from .index import Index, build, postings_of, stats_of, tokenized, without
 
 POSTINGS = "term string, doc_id long, tf long"
+BLOCKS = "term string, block long, df long, cf long, blob binary"
 DOC_STATS = "doc_id long, title string, doc_len long"
+#: Version of the manifest's form. Form 1 listed parts by name alone.
+FORMAT = 2
+#: A segment is merged with the older ones before it while these have at most so many times its documents.
+FAN = 4
 
 
 class IndexStore:
-    """An index below ``root`` on any Hadoop file system. Document ids are never used twice."""
+    """An index below ``root`` on any Hadoop file system. Document ids are never used twice.
 
-    def __init__(self, spark: SparkSession, root: str, merge_threshold: int = 100, fields: tuple[str, ...] = ("title", "plot"), tokenizer: text.Tokenizer = text.tokens):
-        self.spark, self.root, self.merge_threshold, self.fields, self.tokenizer = spark, root.rstrip("/"), merge_threshold, fields, tokenizer
+    ``compressed`` stores new posting lists as gap and variable-byte codes, in blocks; readers take either form.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, merge_threshold: int = 100, fields: tuple[str, ...] = ("title", "plot"), tokenizer: text.Tokenizer = text.tokens, compressed: bool = False):
+        self.spark, self.root, self.merge_threshold, self.fields, self.tokenizer, self.compress = spark, root.rstrip("/"), merge_threshold, fields, tokenizer, compressed
         self._hadoop = spark._jvm.org.apache.hadoop.fs
         self._conf = spark._jsc.hadoopConfiguration()
 
     def _path(self, name: str):
         return self._hadoop.Path(f"{self.root}/{name}")
 
+    def _drop(self, name: str) -> None:
+        path = self._path(name)
+        path.getFileSystem(self._conf).delete(path, True)
+
     def manifest(self) -> dict:
-        """The newest version: parts (folders of postings and doc_stats, the snapshot first), tombstones, next_id, pending."""
+        """The newest version: parts (folders of postings and doc_stats, the snapshot first, with their numbers of
+        documents), tombstones, next_id, pending, and the last batch taken from each stream."""
         top = self._path("manifests")
         fs = top.getFileSystem(self._conf)
         names = [s.getPath().getName() for s in fs.listStatus(top)] if fs.exists(top) else []
         last = max((n for n in names if n.startswith("v")), default=None)
+        empty = {"format": FORMAT, "version": 0, "parts": [], "tombstones": [], "next_id": 0, "pending": 0, "streams": {}}
         if last is None:
-            return {"version": 0, "parts": [], "tombstones": [], "next_id": 0, "pending": 0}
+            return empty
         stream = fs.open(self._path(f"manifests/{last}"))
         try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            found = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
+        if found.get("format", 1) > FORMAT:
+            raise ValueError(f"the index has form {found['format']}; this version reads forms up to {FORMAT}")
+        if found.get("format", 1) == 1:
+            found["parts"] = [{"path": p, "docs": None, "blocks": False} for p in found["parts"]]
+        return empty | found | {"format": FORMAT}
 
     def _commit(self, old: dict, **changes) -> dict:
         new = old | changes | {"version": old["version"] + 1}
         held, final = self._path(f"manifests/.{uuid.uuid4().hex}"), self._path(f"manifests/v{new['version']:09d}.json")
-        out = held.getFileSystem(self._conf).create(held, False)
+        fs = held.getFileSystem(self._conf)
+        out = fs.create(held, False)
         out.write(bytearray(json.dumps(new).encode()))
         out.close()
         none = self.spark.sparkContext._gateway.new_array(self._hadoop.Options.Rename, 0)
-        self._hadoop.FileContext.getFileContext(final.toUri(), self._conf).rename(held, final, none)
+        try:
+            self._hadoop.FileContext.getFileContext(final.toUri(), self._conf).rename(held, final, none)
+        except Exception:
+            fs.delete(held, False)
+            raise
         return new
 
-    def _write(self, index: Index) -> str:
-        """Postings sorted by term over ranges of terms, so that statistics of row groups find a term; documents by id."""
-        part = f"parts/{uuid.uuid4().hex[:12]}"
-        index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{self.root}/{part}/postings")
-        index.doc_stats.write.parquet(f"{self.root}/{part}/doc_stats")
-        self.spark.read.schema(POSTINGS).parquet(f"{self.root}/{part}/postings").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).write.parquet(f"{self.root}/{part}/lexicon")
-        return part
+    def _sorted(self, postings: DataFrame, folder: str) -> None:
+        """Sorted by term over ranges of terms, so that statistics of row groups find a term."""
+        rows, place = (codec.compress_blocks(postings), "block") if self.compress else (postings.select("term", "doc_id", "tf"), "doc_id")
+        rows.repartitionByRange("term", place).sortWithinPartitions("term", place).write.parquet(folder)
+
+    def _write(self, docs: DataFrame | None = None, index: Index | None = None) -> dict:
+        """A new part of docs, whose texts are tokenized once, or of an index."""
+        name = f"parts/{uuid.uuid4().hex[:12]}"
+        at = f"{self.root}/{name}"
+        if docs is not None:
+            toks = tokenized(docs, self.fields, self.tokenizer).select(F.col("doc_id").cast("long").alias("doc_id"), "title", "tokens")
+            toks.write.parquet(f"{at}/tokens")
+            toks = self.spark.read.schema(toks.schema).parquet(f"{at}/tokens")
+            self._sorted(postings_of(toks), f"{at}/postings")
+            stats_of(toks).write.parquet(f"{at}/doc_stats")
+            self._drop(f"{name}/tokens")
+        else:
+            self._sorted(index.postings, f"{at}/postings")
+            index.doc_stats.select("doc_id", "title", "doc_len").write.parquet(f"{at}/doc_stats")
+        stored = self.spark.read.schema(BLOCKS if self.compress else POSTINGS).parquet(f"{at}/postings")
+        df, cf = (F.sum("df"), F.sum("cf")) if self.compress else (F.count("*"), F.sum("tf"))
+        stored.groupBy("term").agg(df.alias("df"), cf.alias("cf")).write.parquet(f"{at}/lexicon")
+        part = {"path": name, "docs": 0, "blocks": self.compress}
+        return part | {"docs": self._stats([part]).count()}
+
+    def _ids(self, part: dict) -> tuple[int, int | None, int | None]:
+        """(documents, least and largest id) of a part; a null or repeated id is an error and the part goes."""
+        n, known, distinct, least, most = self._stats([part]).agg(F.count("*"), F.count("doc_id"), F.count_distinct("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
+        if n != distinct or n != known:
+            self._drop(part["path"])
+            raise ValueError("a doc_id is null or repeats")
+        return n, least, most
 
     def create(self, docs: DataFrame) -> dict:
-        """Replace the whole index by one of docs (doc_id, title, plot)."""
+        """Replace the whole index by one of docs (doc_id, title, plot). Ids must differ."""
         old = self.manifest()
-        part = self._write(build(docs, self.fields, self.tokenizer))
-        top = self.spark.read.schema(DOC_STATS).parquet(f"{self.root}/{part}/doc_stats").agg(F.max("doc_id")).first()[0]
+        part = self._write(docs)
+        top = self._ids(part)[2]
         return self._commit(old, parts=[part], tombstones=[], pending=0, next_id=max(old["next_id"], 0 if top is None else top + 1))
 
-    def _read(self, parts: list[str], what: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{p}/{what}" for p in parts]) if parts else self.spark.createDataFrame([], schema)
+    def _stats(self, parts: list[dict]) -> DataFrame:
+        return self.spark.read.schema(DOC_STATS).parquet(*[f"{self.root}/{p['path']}/doc_stats" for p in parts]) if parts else self.spark.createDataFrame([], DOC_STATS)
+
+    def _postings(self, parts: list[dict]) -> DataFrame:
+        """Postings of some parts in rows. A filter by term reaches the files of either form."""
+        found = self.spark.createDataFrame([], POSTINGS)
+        for blocks, schema in ((False, POSTINGS), (True, BLOCKS)):
+            own = [f"{self.root}/{p['path']}/postings" for p in parts if p["blocks"] == blocks]
+            if own:
+                rows = self.spark.read.schema(schema).parquet(*own)
+                rows = codec.decompress_blocks(rows) if blocks else rows
+                found = rows if len(own) == len(parts) else found.unionByName(rows)
+        return found
 
     def tombstones(self, manifest: dict | None = None) -> DataFrame:
         paths = [f"{self.root}/{t}" for t in (manifest or self.manifest())["tombstones"]]
         return self.spark.read.schema("doc_id long").parquet(*paths) if paths else self.spark.createDataFrame([], "doc_id long")
 
-    def view(self) -> Index:
-        """Snapshot and segments without deleted documents; statistics leave them out too."""
-        now = self.manifest()
-        postings, stats = self._read(now["parts"], "postings", POSTINGS), self._read(now["parts"], "doc_stats", DOC_STATS)
+    def _index(self, now: dict, parts: list[dict]) -> Index:
+        postings, stats = self._postings(parts), self._stats(parts)
         if now["tombstones"]:
             dead = self.tombstones(now)
             postings, stats = without(postings, dead), without(stats, dead)
         return Index(postings, stats, self.tokenizer)
 
+    def view(self) -> Index:
+        """Snapshot and segments without deleted documents; statistics leave them out too."""
+        now = self.manifest()
+        return self._index(now, now["parts"])
+
     def lexicon(self) -> DataFrame:
-        """(term, df, cf) without reading postings, where nothing has been added or deleted since the last merge."""
+        """(term, df, cf) without reading postings, where nothing has been deleted since the last merge."""
         now = self.manifest()
-        if len(now["parts"]) == 1 and not now["tombstones"]:
-            return self._read(now["parts"], "lexicon", "term string, df long, cf long")
-        return self.view().lexicon
+        if now["tombstones"] or not now["parts"]:
+            return self.view().lexicon
+        stored = self.spark.read.schema("term string, df long, cf long").parquet(*[f"{self.root}/{p['path']}/lexicon" for p in now["parts"]])
+        return stored if len(now["parts"]) == 1 else stored.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
     def compressed(self) -> DataFrame:
         """(term, df, cf, blob) of the view."""
         return codec.compress(self.view().postings)
 
-    def add(self, docs: DataFrame) -> range:
-        """Append docs (title, plot) as a segment under new ids, in their order; merges once enough are pending."""
+    def blocks(self) -> DataFrame:
+        """(term, block, df, cf, blob) as stored, of the parts that hold blocks."""
+        own = [f"{self.root}/{p['path']}/postings" for p in self.manifest()["parts"] if p["blocks"]]
+        return self.spark.read.schema(BLOCKS).parquet(*own) if own else self.spark.createDataFrame([], BLOCKS)
+
+    def add(self, docs: DataFrame, batch: tuple[str, int] | None = None) -> range:
+        """Append docs (title, plot) as a segment under new ids, in their order; merges once enough are pending.
+
+        Docs may bring a doc_id, from the next free one on. ``batch``: the name of a stream and the number of its batch;
+        one that has been added already is left out, so that a batch may come again.
+        """
         now = self.manifest()
-        numbered = dense_ids(docs, [], now["next_id"]) if "doc_id" not in docs.columns else docs
-        part = self._write(build(numbered, self.fields, self.tokenizer))
-        n = self._read([part], "doc_stats", DOC_STATS).agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-        if n[1] is not None and n[1] < now["next_id"]:
+        if batch and now["streams"].get(batch[0], -1) >= batch[1]:
+            return range(now["next_id"], now["next_id"])
+        part = self._write(dense_ids(docs, [], now["next_id"]) if "doc_id" not in docs.columns else docs)
+        n, least, most = self._ids(part)
+        if least is not None and least < now["next_id"]:
+            self._drop(part["path"])
             raise ValueError("an id is in use already")
-        after = now["next_id"] if n[2] is None else n[2] + 1
-        new = self._commit(now, parts=[*now["parts"], part], next_id=after, pending=now["pending"] + n[0])
+        after = now["next_id"] if most is None else most + 1
+        streams = now["streams"] | ({batch[0]: batch[1]} if batch else {})
+        new = self._commit(now, parts=[*now["parts"], part], next_id=after, pending=now["pending"] + n, streams=streams)
         if new["pending"] >= self.merge_threshold:
-            self.merge()
+            self._merge_tier()
         return range(now["next_id"], after)
 
     def delete(self, ids: DataFrame | list[int]) -> None:
@@ -127,10 +204,26 @@ class IndexStore:
         self.delete([doc_id])
         return self.add(self.spark.createDataFrame([(title, plot)], "title string, plot string"))[0]
 
+    def _merge_tier(self) -> None:
+        """Merge the newest segments and as many older parts as are not much larger than all that came after them.
+
+        Tombstones stay, as parts that weren't merged may hold their documents; the merged part has none of these.
+        """
+        now = self.manifest()
+        sizes = [p["docs"] if p["docs"] is not None else self._stats([p]).count() for p in now["parts"]]
+        at = len(sizes) - 1
+        while at > 0 and sizes[at - 1] <= FAN * sum(sizes[at:]):
+            at -= 1
+        if at < len(sizes) - 1:
+            merged = self._write(index=self._index(now, now["parts"][at:]))
+            now = self._commit(now, parts=[*now["parts"][:at], merged], pending=0, **({"tombstones": []} if not at else {}))
+        else:
+            self._commit(now, pending=0)
+
     def merge(self) -> None:
         """One new snapshot of the view; segments and tombstones are done with."""
         now = self.manifest()
-        self._commit(now, parts=[self._write(self.view())], tombstones=[], pending=0)
+        self._commit(now, parts=[self._write(index=self._index(now, now["parts"]))], tombstones=[], pending=0)
 
 
 def create_index(spark: SparkSession, mode: str, docs: DataFrame | None = None, root: str | None = None, **options):

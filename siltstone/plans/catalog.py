@@ -6,8 +6,6 @@ rounded to six digits before they are ordered, in both engines.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +15,10 @@ from siltstone.functions import codec, text
 from siltstone.operators import index as ix
 from siltstone.operators import ranking, reports
 from siltstone.operators.store import IndexStore, create_index
+from siltstone.sources import readers
 from siltstone.sources.readers import parquet_documents
+from siltstone.sources.scratch import Scratch
+from siltstone.streaming.ingest import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,9 +39,8 @@ def query(sql: str | None = None):
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder for one query's index, in the cluster's shared folder if one is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="siltstone-index-")
-    return f"{root.rstrip('/')}/index-{uuid.uuid4().hex[:12]}"
+    """A new folder for one query's index, in the cluster's shared folder."""
+    return Scratch(spark, "index").root
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -430,9 +430,90 @@ def overlay(spark, sf_dir):
     return ix.overlay(main, main.where("doc_id % 10 = 9").withColumn("tf", F.col("tf") + 1)).select("term", "doc_id", "tf")
 
 
-@query("SELECT CAST(0 AS BIGINT) AS differences")
+@query(f"{BASE} SELECT CAST(0 AS BIGINT) AS differences, count(*) AS postings FROM postings")
 def mode_equivalence(spark, sf_dir):
-    """Postings in memory and on disk differ in no row."""
+    """Postings in memory and on disk differ in no row; and how many they are."""
     memory = create_index(spark, "memory", corpus(spark, sf_dir)).postings
-    disk = stored(spark, sf_dir)
-    return ix.differences(memory, disk.view().postings).agg(F.count("*").alias("differences"))
+    disk = stored(spark, sf_dir).view().postings
+    return ix.differences(memory, disk).agg(F.count("*").alias("differences")).join(disk.agg(F.count("*").alias("postings")))
+
+
+@query(f"{BASE} SELECT term, doc_id, tf FROM postings WHERE term IN ('elle', 'the')")
+def disk_compressed_lookup(spark, sf_dir):
+    """Two terms' postings from blocks of gap and variable-byte codes as stored."""
+    store = create_index(spark, "disk", corpus(spark, sf_dir), folder(spark), compressed=True)
+    return store.view().terms("elle", "the").select("term", "doc_id", "tf")
+
+
+BLOCKS = f"{BASE}, blocked AS (SELECT *, doc_id // 65536 AS block FROM postings), gapped AS (SELECT *, doc_id - coalesce(lag(doc_id) OVER (PARTITION BY term, block ORDER BY doc_id), block * 65536) AS gap FROM blocked)"
+
+
+@query(f"{BLOCKS} SELECT term, block, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, string_agg({vb_sql('gap')} || {vb_sql('tf')}, '' ORDER BY doc_id) AS blob FROM gapped GROUP BY term, block")
+def stored_blocks(spark, sf_dir):
+    """The stored blocks of all posting lists, in hex."""
+    return create_index(spark, "disk", corpus(spark, sf_dir), folder(spark), compressed=True).blocks().withColumn("blob", F.hex("blob"))
+
+
+# ---- loading: ids by place -----------------------------------------------------------------------------------------
+
+
+@query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, printf('%012d.txt', doc_id) AS title, md5(coalesce(text, '')) AS text_md5 FROM documents")
+def text_folder_ids(spark, sf_dir):
+    """Every document written as a text file, and the folder loaded."""
+    top = Scratch(spark, "texts").path("files")
+
+    def save(frames):
+        import pyarrow.fs as pafs
+
+        fs, path = pafs.FileSystem.from_uri(top)
+        fs.create_dir(path, recursive=True)
+        for pdf in frames:
+            for name, body in zip(pdf["name"], pdf["body"], strict=True):
+                with fs.open_output_stream(f"{path}/{name}") as f:
+                    f.write(body)
+            yield pdf[["name"]]
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    files = docs.select(F.format_string("%012d.txt", "doc_id").alias("name"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("body"))
+    files.mapInPandas(save, "name string").write.format("noop").mode("overwrite").save()
+    return readers.text_folder(spark, top).select("doc_id", "title", F.md5("plot").alias("text_md5"))
+
+
+@query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, source AS title, md5(text) AS text_md5 FROM documents")
+def csv_ids(spark, sf_dir):
+    """All documents written as CSV files in their order, and the folder loaded."""
+    top = Scratch(spark, "csv").path("files")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col("source").alias("title"), F.lit("").alias("image"), F.col("text").alias("plot"))
+    rows.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(top)
+    return readers.csv_folder(spark, top).select("doc_id", "title", F.md5("plot").alias("text_md5"))
+
+
+ADDED = "renamed AS (SELECT *, CASE WHEN doc_id <= (SELECT max(doc_id) * 9 // 10 FROM documents) THEN doc_id ELSE (SELECT max(doc_id) * 9 // 10 FROM documents) + row_number() OVER (PARTITION BY doc_id > (SELECT max(doc_id) * 9 // 10 FROM documents) ORDER BY doc_id) END AS id FROM documents)"
+ADDED_BASE = f"WITH {ADDED}, {DOCS.replace('SELECT doc_id,', 'SELECT id AS doc_id,').replace('FROM documents)', 'FROM renamed)')}, {TOKENS}, {POSTINGS}"
+
+
+@query(f"{ADDED_BASE} SELECT term, doc_id, tf FROM postings")
+def updatable_add_without_ids(spark, sf_dir):
+    """Nine tenths of the documents under their ids, the rest added under new ones in their order."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("source").alias("title"), F.col("text").alias("plot"))
+    store = IndexStore(spark, folder(spark), merge_threshold=1 << 62)
+    cut = docs.agg(F.expr("max(doc_id) * 9 div 10")).first()[0]
+    store.create(docs.where(F.col("doc_id") <= cut))
+    store.add(docs.where(F.col("doc_id") > cut).orderBy("doc_id").select("title", "plot"))
+    return store.view().postings.select("term", "doc_id", "tf")
+
+
+@query(f"{BASE} SELECT term, df, cf FROM lexicon")
+def streamed_replay(spark, sf_dir):
+    """All documents streamed into an index in several batches, the last of which comes twice."""
+    scratch = Scratch(spark, "stream")
+    given, checkpoint = scratch.path("given"), scratch.path("checkpoint")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("source").alias("title"), F.col("text").alias("plot"))
+    docs.repartition(4, "doc_id").drop("doc_id").write.parquet(given)
+    store = IndexStore(spark, folder(spark), merge_threshold=1 << 62)
+    stream = lambda: spark.readStream.schema("title string, plot string").option("maxFilesPerTrigger", 2).parquet(given)
+    ingest(stream(), store, checkpoint).awaitTermination()
+    scratch.drop("checkpoint/commits/1", "checkpoint/commits/.1.crc")  # as if the driver had died before it was noted
+    ingest(stream(), store, checkpoint).awaitTermination()
+    return store.lexicon()

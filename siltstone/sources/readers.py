@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .scratch import Scratch
+
 MOVIES = "title string, image string, plot string"
 DECADES = ("1970s", "1980s", "1990s", "2000s", "2010s", "2020s")
 
@@ -24,15 +29,52 @@ def decade_files(spark: SparkSession, folder: str, decades: tuple[str, ...] = DE
     return dense_ids(read.withColumns({"decade": decade, "nth": nth}), ["nth"]).select("doc_id", "title", "plot", "decade")
 
 
+def csv_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, title, image, plot) of all *.csv files of a folder, by file name and place in the file."""
+    return dense_ids(csv_files(spark, folder), ["file"]).select("doc_id", "title", "image", "plot")
+
+
+def first_rows(spark: SparkSession, folder: str, n: int = 10) -> DataFrame:
+    """The first n rows of the folder's first CSV file by name."""
+    files = sorted(csv_files(spark, folder).inputFiles())
+    return dense_ids(csv_files(spark, files[:1]), ["file"]).where(F.col("doc_id") < n).select("doc_id", "title", "image", "plot")
+
+
 def text_folder(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, title, plot) of a folder's files: title is the file's name, plot its whole text, ids by name."""
     read = spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("title"), F.col("value").alias("plot"))
     return dense_ids(read, ["title"]).select("doc_id", "title", "plot")
 
 
+def folder_with(spark: SparkSession, folder: str, read: Callable[[str, bytes], tuple[str, str]]) -> DataFrame:
+    """(doc_id, title, plot) of a folder's files in any format: read(name, content) gives title and text; ids by name."""
+
+    def run(frames):
+        for pdf in frames:
+            found = [read(name, bytes(content)) for name, content in zip(pdf["file"], pdf["content"], strict=True)]
+            yield pd.DataFrame({"file": pdf["file"], "title": [t for t, _ in found], "plot": [x for _, x in found]})
+
+    files = spark.read.format("binaryFile").load(folder).select(F.col("_metadata.file_name").alias("file"), "content")
+    return dense_ids(files.mapInPandas(run, "file string, title string, plot string"), ["file"]).select("doc_id", "title", "plot")
+
+
 def parquet_documents(spark: SparkSession, path: str, title: str = "source", plot: str = "text", decade: str = "lang") -> DataFrame:
     """(doc_id, title, plot, decade) of a table that has ids already."""
-    return spark.read.parquet(path).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(title).alias("title"), F.col(plot).alias("plot"), F.col(decade).alias("decade"))
+    read = spark.read.parquet(path).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(title).alias("title"), F.col(plot).alias("plot"), F.col(decade).alias("decade"))
+    return dealt(read, path)
+
+
+def dealt(docs: DataFrame, path: str, row_group: int = 16 << 20) -> DataFrame:
+    """docs, dealt out by doc_id if the files at ``path`` are too small to have a row group for each core.
+
+    A row group is read by one task, and so is all that follows up to the next shuffle. What is moved is at most
+    ``row_group`` bytes a core; a larger table stays where it is. Dealt by doc_id, a document's terms need no other shuffle.
+    """
+    spark = docs.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores, "doc_id") if size < cores * row_group else docs
 
 
 def complete(docs: DataFrame) -> DataFrame:
@@ -44,11 +86,16 @@ def complete(docs: DataFrame) -> DataFrame:
 def dense_ids(df: DataFrame, order: list[str], start: int = 0) -> DataFrame:
     """Adds doc_id: start, start + 1, ... by ``order`` and, within equals, by place in the input.
 
-    A range of rows is numbered in its own task and shifted by the counts of the ranges before it.
+    The rows are sorted by ranges into a table of the shared folder, once, so that a row's range and place in it are
+    the same for whatever reads them afterwards. Its id is its place shifted by the sizes of the ranges before.
     """
+    kept = [c for c in df.columns if c != "doc_id"]
     placed = df.withColumn("_at", F.monotonically_increasing_id())
-    ranged = placed.repartitionByRange(*order, "_at").withColumn("_range", F.spark_partition_id())
+    ranged = placed.repartitionByRange(*order, "_at").sortWithinPartitions(*order, "_at")
+    held = Scratch(df.sparkSession, "ids").table(ranged.drop("_at").withColumn("_place", F.monotonically_increasing_id()), "ranged")
+    # monotonically_increasing_id: the task in the upper bits, the row's place in the lower 33
+    held = held.withColumns({"_range": F.shiftright("_place", 33), "_own": F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))})
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    shift = ranged.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_shift"))
-    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order, "_at"))
-    return ranged.withColumn("_own", own).join(shift, "_range").withColumn("doc_id", F.col("_own") - 1 + F.col("_shift") + start).drop("_at", "_range", "_own", "_shift")
+    shift = held.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_shift"))
+    # a row for each task that wrote: as many as shuffle partitions at most
+    return held.join(F.broadcast(shift), "_range").select((F.col("_own") + F.col("_shift") + start).alias("doc_id"), *kept)

@@ -1,11 +1,14 @@
 """The retrieval engine against small fixtures with known results."""
 
+import hashlib
+import json
 import random
 import re
 from math import log, sqrt
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siltstone.functions import codec, text
 from siltstone.operators import index as ix
@@ -142,6 +145,11 @@ def test_updates(spark, tmp_path):
     store.delete([2])
     store.merge()
     assert add("x", "again") == 3  # an id is never used again
+    for bad in ([(5, "a", "b"), (5, "c", "d")], [(None, "a", "b")], [(0, "a", "b")]):
+        with pytest.raises(ValueError):
+            store.add(spark.createDataFrame(bad, DOCS))
+    with pytest.raises(ValueError):
+        IndexStore(spark, f"file://{tmp_path}/k").create(spark.createDataFrame([(1, "a", "b"), (1, "c", "d")], DOCS))
     small = IndexStore(spark, f"file://{tmp_path}/j", merge_threshold=2)
     for i in range(3):
         small.add(spark.createDataFrame([(f"d{i}", "word")], "title string, plot string"))
@@ -170,10 +178,125 @@ def test_sources(spark, tmp_path):
     for i in (2, 10):
         (tmp_path / "t" / f"doc_{i}.txt").write_text(f"body {i}\nmore")
     assert [(r.doc_id, r.title, r.plot) for r in readers.text_folder(spark, str(tmp_path / "t")).orderBy("doc_id").collect()] == [(0, "doc_10.txt", "body 10\nmore"), (1, "doc_2.txt", "body 2\nmore")]
+    (tmp_path / "c").mkdir()
+    for name, rows_ in (("b.csv", "b1,,x\nb2,,y\n"), ("a.csv", "a1,,x\n"), ("z.txt", "no")):
+        (tmp_path / "c" / name).write_text("title,image,plot\n" + rows_)
+    assert [(r.doc_id, r.title) for r in readers.csv_folder(spark, str(tmp_path / "c")).orderBy("doc_id").collect()] == [(0, "a1"), (1, "b1"), (2, "b2")]
+    assert [r.title for r in readers.first_rows(spark, str(tmp_path / "c"), 1).collect()] == ["a1"]
+    own = readers.folder_with(spark, str(tmp_path / "t"), lambda name, content: (name.upper(), content.decode().split()[1]))
+    assert [tuple(r) for r in own.orderBy("doc_id").collect()] == [(0, "DOC_10.TXT", "10"), (1, "DOC_2.TXT", "2")]
     assert readers.complete(spark.createDataFrame([("a", "b"), (" \n", "b"), ("a", None)], "title string, plot string")).count() == 1
     assert ix.tokenized(spark.createDataFrame([(0, None, "b")], DOCS), pandas_nulls=True).first().tokens == ["nan", "b"]
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+@pytest.mark.parametrize("partitions", [8, 200])
+def test_dense_ids_of_many_rows(spark, adaptive, partitions):
+    """No id is lost or given twice, whatever the partitions."""
+    n = 100_000
+    rows = spark.range(0, n, 1, 13).select(F.concat(F.lit("t"), F.pmod(F.xxhash64("id"), F.lit(997)).cast("string")).alias("title"), F.repeat(F.md5(F.col("id").cast("string")), 16).alias("plot"), "id")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        for order in ([], ["title"]):
+            got = readers.dense_ids(rows, order, 7)
+            assert tuple(got.agg(F.count("*"), F.min("doc_id"), F.max("doc_id"), F.count_distinct("doc_id"), F.count_distinct("id")).first()) == (n, 7, n + 6, n, n)
+            assert got.select("plot").where("length(plot) = 512").count() == n
+            place = F.lag(F.struct(*order, "id")).over(Window.orderBy("doc_id"))
+            assert got.where(F.col("doc_id").between(7, 20_000)).withColumn("before", place).where(F.col("before") > F.struct(*order, "id")).count() == 0
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("compressed", [False, True])
+def test_postings_and_statistics_of_added_documents_agree(spark, tmp_path, compressed):
+    n = 20_000
+    store = IndexStore(spark, f"file://{tmp_path}/big", merge_threshold=1 << 40, compressed=compressed)
+    docs = spark.range(0, n, 1, 7).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("title"), F.concat_ws(" ", F.lit("all"), F.md5(F.col("id").cast("string"))).alias("plot"))
+    for i in range(2):
+        assert store.add(docs) == range(i * n, (i + 1) * n)
+    view = store.view()
+    assert tuple(view.doc_stats.agg(F.count("*"), F.count_distinct("doc_id"), F.max("doc_id")).first()) == (2 * n, 2 * n, 2 * n - 1)
+    own = view.postings.groupBy("doc_id").agg(F.sum("tf").alias("n"))
+    assert own.count() == 2 * n and own.join(view.doc_stats, "doc_id").where("n <> doc_len").count() == 0
+    # the added documents keep their order
+    assert view.postings.where("term like 't%'").where(F.col("term") != F.concat(F.lit("t"), (F.col("doc_id") % n).cast("string"))).count() == 0
+    assert store.lexicon().where("term = 'all'").first().df == 2 * n
+
+
+def test_blocks_round_trip(spark):
+    rnd = random.Random(8)
+    rows = [(t, d, rnd.randint(1, 300)) for t, k in (("a", 1), ("b", 70), ("c", 900), ("d", 3000)) for d in rnd.sample(range(4000), k)]
+    rows += [("a", 2**40, 1), ("e", 0, 1)]
+    p = spark.createDataFrame(rows, "term string, doc_id long, tf long")
+    for width in (1, 64, 1 << 16):
+        blocks = codec.compress_blocks(p, width)
+        assert sorted(tuple(r) for r in codec.decompress_blocks(blocks, width).collect()) == sorted(rows)
+        assert blocks.agg(F.max("df")).first()[0] <= width
+    cut = codec.compress_blocks(p).withColumn("blob", F.expr("substring(blob, 1, length(blob) - 1)"))
+    assert codec.decompress_blocks(cut).count() == 0
+
+
+def test_tiers_and_forms(spark, tmp_path):
+    store = IndexStore(spark, f"file://{tmp_path}/t", merge_threshold=3)
+    docs = lambda n: spark.createDataFrame([("t", "word")] * n, "title string, plot string")
+    store.add(docs(100))
+    sizes = []
+    for _ in range(12):
+        store.add(docs(3))
+        sizes.append(sum(p["docs"] for p in store.manifest()["parts"]))
+    assert sizes == [103 + 3 * i for i in range(12)] and len(store.manifest()["parts"]) <= 4
+    store.delete([0, 130])
+    store.add(docs(3))
+    assert store.view().document_frequency("word") == 100 + 39 - 2
+    # a manifest of the form before, which listed parts by name
+    now = store.manifest()
+    old = {k: v for k, v in now.items() if k not in ("format", "streams")} | {"parts": [p["path"] for p in now["parts"]], "version": now["version"] + 1}
+    (tmp_path / "t" / "manifests" / f"v{old['version']:09d}.json").write_text(json.dumps(old))
+    assert store.view().document_frequency("word") == 137
+    store.add(docs(3))
+    assert store.view().document_frequency("word") == 140
+    later = store.manifest() | {"format": 99, "version": 10**6}
+    (tmp_path / "t" / "manifests" / "v001000000.json").write_text(json.dumps(later))
+    with pytest.raises(ValueError):
+        store.view()
+
+
+def test_tokenizer_options_hold_for_queries(spark):
+    docs = spark.createDataFrame([(0, "", "the cat 9 the cats"), (1, "", "a dog")], DOCS)
+    assert spark.createDataFrame([("a b a",)], "t string").select(text.stop_words_removed(text.tokens(F.col("t")), [])).first()[0] == ["a", "b", "a"]
+    own = text.tokenizer(["the"], alphabetic=True, least=2, stem=lambda t: F.regexp_replace(t, "s$", ""))
+    index = ix.build(docs, tokenizer=own)
+    assert {(r.term, r.doc_id): r.tf for r in index.postings.collect()} == {("cat", 0): 2, ("dog", 1): 1}
+    assert [r.doc_id for r in ranking.bm25(index, "cats").collect()] == [0]
+    many = spark.createDataFrame([(1, "cats the")], "query_id long, query string")
+    assert [r.doc_id for r in ranking.smart(index, many).collect()] == [0]
+    assert index.add(2, "x", "cats").document_frequency("cat") == 2
+    assert spark.range(1).select(text.term_key(F.lit("film"))).first()[0] == hashlib.md5(b"film").hexdigest()
+
+
+def test_ranking_without_broadcast_and_without_statistics(spark, micro, monkeypatch):
+    many = spark.createDataFrame([(5, "love story"), (6, "space alien space")], "query_id long, query string")
+    rows = lambda df: sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in df.collect())
+    want = [rows(f(micro, many)) for f in (ranking.bm25, ranking.smart, ranking.language_model)]
+    monkeypatch.setattr(ranking, "BROADCAST_TERMS", -1)
+    assert [rows(f(micro, many)) for f in (ranking.bm25, ranking.smart, ranking.language_model)] == want
+    bare = ix.Index(micro.postings, micro.doc_stats.where("doc_id <> 0"))
+    got = {r.doc_id: r.title for r in ranking.bm25(bare, "love story").collect()}
+    assert got[0] is None and len(got) == 3
+
+
+def test_console(spark):
+    from siltstone.operators import console
+
+    docs = spark.createDataFrame([(i, f"t{i}", "red fish " * i, "1970s") for i in range(3)], "doc_id long, title string, plot string, decade string")
+    out = console.report(docs, ["fish", "zzz"], ["red"])
+    assert "Documents: 3" in out and "BM25, 'zzz': no document" in out and "red: in 2 documents; 1:1, 2:2" in out and "Index: 3 documents" in out
+    assert console.amount(1234567.891, 2) == "1,234,567.89" and console.amount(None) == "-"
+
+
 def test_reports(spark):
     docs = spark.createDataFrame([(0, "a", "one two"), (1, None, "x" * 151), (2, "b", None)], DOCS)
     assert {r.column_name: r.missing for r in reports.missing_values(docs).collect()} == {"doc_id": 0, "title": 1, "plot": 1}
@@ -189,3 +312,8 @@ def test_streamed_documents(spark, tmp_path):
     store = IndexStore(spark, f"file://{tmp_path}/s")
     ingest(spark.readStream.schema("title string, plot string").parquet(f"{tmp_path}/in"), store, f"{tmp_path}/c").awaitTermination(60)
     assert store.view().document_frequency("fish") == 2
+    commits = tmp_path / "c" / "commits"
+    for f in commits.iterdir():
+        f.unlink()  # the driver died before the batch was noted; it comes again
+    ingest(spark.readStream.schema("title string, plot string").parquet(f"{tmp_path}/in"), store, f"{tmp_path}/c").awaitTermination(60)
+    assert store.view().document_frequency("fish") == 2 and store.manifest()["streams"] == {f"{tmp_path}/c": 0}
