@@ -10,7 +10,9 @@ import threading
 import time
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,8 @@ from pyspark.sql.window import Window
 
 #: White space between words, as the contracts define it.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Bytes of text that a task tokenizes at once.
+ENCODE_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +33,34 @@ def utf8(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def sized(batches, column: int, limit: int):
+    """The rows of record batches in their order, as batches whose ``column`` (text or binary) has at most ``limit`` bytes,
+    or one row. Small batches are joined, so that the size of Spark's batches doesn't matter."""
+    held, size = [], 0
+
+    def joined():
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            stop = int(np.searchsorted(ends, before + limit - size, "right"))
+            if stop <= at and held:
+                yield joined()
+                held, size = [], 0
+                continue
+            stop = max(stop, at + 1)
+            held.append(batch.slice(at, stop - at))
+            size += int(ends[stop - 1]) - before
+            at = stop
+    if held:
+        yield joined()
+
+
 _STATE: dict = {}
 _USED = [0.0]
 #: Seconds after which a worker that no task asks for its state gives it up.

@@ -13,7 +13,6 @@ Only the histogram (one row per bin) comes to the driver.
 
 from __future__ import annotations
 
-import struct
 from dataclasses import dataclass
 from itertools import combinations_with_replacement
 
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, running_sum, table, utf8
+from .common import ENCODE_BYTES, Scratch, running_sum, sized, table, utf8
 from .encoding import encoder
 
 #: Tokens of the stream that one task matches against gaps.
@@ -205,28 +204,26 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 2,
     An empty table gives no piece. Columns other than doc_id and text are ignored.
     """
     scratch = Scratch(spark, "packing")
-    end = struct.pack("<I", end_id)
 
     def encode(batches):
         from pyspark import TaskContext
 
         rid, tokens = TaskContext.get().partitionId() << 40, encoder(tokenizer)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                some = batch.slice(at, 1024)
-                ids = [x + end for x in tokens.ids(some.column(1).to_pylist())]
-                n = len(ids)
-                narrow = [np.frombuffer(x, "<u4") for x in ids]
-                narrow = [a.astype("<u2").tobytes() + b"\2" if a.max() < 65536 else x + b"\4" for a, x in zip(narrow, ids, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(rid, rid + n), pa.int64()), some.column(0).cast(pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(narrow, pa.binary())], ["rid", "doc_id", "n", "packed"])
-                rid += n
+        for some in sized(batches, 1, ENCODE_BYTES):
+            ids, at = tokens.encode(some.column(1), end_id)
+            n, ends = some.num_rows, at.tolist()
+            small = len(ids) and ids.max() < 65536
+            wide = ids.astype("<u2" if small else "<u4")
+            packed = [wide[a:b].tobytes() + (b"\2" if small else b"\4") for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(rid, rid + n), pa.int64()), some.column(0).cast(pa.int64()), pa.array(np.diff(at)), pa.array(packed, pa.binary())], ["rid", "doc_id", "n", "packed"])
+            rid += n
 
     tokens = scratch.table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).mapInArrow(encode, "rid long, doc_id long, n long, packed binary"), "tokens")
     pieces = plan_pieces(scratch, tokens.select("rid", "n"), window, bins, depth)
     grouped = pieces.groupBy("rid").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
 
     def cut(batches):
-        for batch in batches:
+        for batch in sized(batches, 2, ENCODE_BYTES):
             for at in range(0, batch.num_rows, 256):
                 out = []
                 for row in batch.slice(at, 256).to_pylist():

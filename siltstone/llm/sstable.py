@@ -25,13 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as pads
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, filesystem, table, utf8
+from .common import ENCODE_BYTES, Scratch, filesystem, sized, table, utf8
 from .encoding import encoder
 
 MAGIC = b"SSTSHRD1"
@@ -53,10 +54,9 @@ def key_value(key: bytes):
     return struct.unpack(">Q", key[1:])[0] - (1 << 63) if key[:1] == b"\1" else key[1:].decode()
 
 
-def pack_ids(ids: bytes) -> bytes:
-    """Of unsigned 32-bit ids: 16 bits each where all fit."""
-    wide = np.frombuffer(ids, "<u4")
-    return b"\2" + wide.astype("<u2").tobytes() if not wide.size or wide.max() < 65536 else b"\4" + ids
+def pack_ids(ids: np.ndarray) -> bytes:
+    """16 bits each where all fit."""
+    return b"\2" + ids.astype("<u2").tobytes() if not ids.size or ids.max() < 65536 else b"\4" + ids.astype("<u4").tobytes()
 
 
 def unpack_ids(value: bytes) -> bytes:
@@ -222,14 +222,14 @@ class TokenStore:
                     fs, path = filesystem(row["path"])
                     at = row["base"]
                     with fs.open_input_file(path) as f:
-                        held = []
+                        held, size = [], 0
                         for key, value in Shard(lambda p, n, f=f: f.read_at(n, p), row["bytes"]).scan():
                             ids = unpack_ids(value)
-                            held.append((key_value(key), at, len(ids) // 4, ids))
-                            at += len(ids) // 4
-                            if len(held) == 512:
+                            if held and size + len(ids) > 4 * ENCODE_BYTES:
                                 yield _rows(held)
-                                held = []
+                                held, size = [], 0
+                            held.append((key_value(key), at, len(ids) // 4, ids))
+                            at, size = at + len(ids) // 4, size + len(ids)
                         if held:
                             yield _rows(held)
 
@@ -242,13 +242,28 @@ class TokenStore:
         spread = shards.select("path", "bytes", "base").repartition(max(1, self.manifest.count()), "path")
         return spread.mapInArrow(read, f"key {self.key_type}, start long, n_tokens long, ids binary")
 
-    def lookup(self, keys: DataFrame) -> DataFrame:
-        """(key, ids) for each row of the one-column ``keys`` and each document of that key."""
-        name = keys.columns[0]
-        key_type = self.key_type
-        encode = F.udf(lambda v: bytearray(key_bytes(v)), "binary")
-        wanted = keys.select(F.col(name).alias("key"), encode(name).alias("k"))
-        hits = wanted.join(self.manifest, (F.col("k") >= F.col("first_key")) & (F.col("k") <= F.col("last_key")))
+    def lookup(self, keys: DataFrame, slots: int = 16) -> DataFrame:
+        """(key, ids) for each row of the one-column ``keys`` and each document of that key.
+
+        A key's shards are found by bisection of the manifest's ascending last keys, which tasks read from the shared
+        folder; then each shard's keys are looked up in it, in ``slots`` tasks a shard at most.
+        """
+        key_type, manifest = self.key_type, self.scratch.path("manifest")
+
+        def place(frames):
+            import pandas as pd
+
+            fs, top = filesystem(manifest)
+            listed = pads.dataset(top, filesystem=fs, format="parquet", exclude_invalid_files=False).to_table(columns=["path", "part", "seq", "bytes", "first_key", "last_key"]).sort_by([("part", "ascending"), ("seq", "ascending")]).to_pydict()
+            for pdf in frames:
+                out = []
+                for value in pdf["key"]:
+                    k = key_bytes(None if pd.isna(value) else int(value) if key_type == "long" else value)
+                    i = bisect_left(listed["last_key"], k)
+                    while i < len(listed["path"]) and listed["first_key"][i] <= k:
+                        out.append((k, listed["path"][i], listed["bytes"][i]))
+                        i += 1
+                yield pd.DataFrame(out, columns=["k", "path", "bytes"])
 
         def find(pdf):
             import pandas as pd
@@ -256,10 +271,11 @@ class TokenStore:
             fs, path = filesystem(pdf["path"].iloc[0])
             with fs.open_input_file(path) as f:
                 shard = Shard(lambda p, n: f.read_at(n, p), int(pdf["bytes"].iloc[0]))
-                found = [(k, unpack_ids(v)) for k, b in zip(pdf["key"], pdf["k"], strict=True) for v in shard.get(bytes(b))]
-            return pd.DataFrame(found, columns=["key", "ids"])
+                found = [(key_value(bytes(k)), unpack_ids(v)) for k in pdf["k"] for v in shard.get(bytes(k))]
+            return pd.DataFrame({"key": pd.Series([k for k, _ in found], dtype="Int64" if key_type == "long" else object), "ids": [v for _, v in found]})
 
-        return hits.select("key", "k", "path", "bytes").groupBy("path").applyInPandas(find, f"key {key_type}, ids binary")
+        hits = keys.select(F.col(keys.columns[0]).cast(key_type).alias("key")).mapInPandas(place, "k binary, path string, bytes long")
+        return hits.groupBy("path", F.pmod(F.xxhash64("k"), F.lit(slots)).alias("slot")).applyInPandas(find, f"key {key_type}, ids binary")
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", shard_bytes: int = 64 << 20) -> TokenStore:
@@ -275,7 +291,6 @@ def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: i
     key_type = "long" if kind in ("tinyint", "smallint", "int", "bigint") else "string"
     rows = docs.select(F.col(key).cast(key_type).alias("k"), utf8(text).alias("t")).withColumn("h", F.xxhash64("t"))
     ordered = rows.repartitionByRange(F.col("k").asc_nulls_first(), "h").sortWithinPartitions(F.col("k").asc_nulls_first(), "h", "t")
-    end = struct.pack("<I", end_id)
 
     def write(batches):
         from pyspark import TaskContext
@@ -293,18 +308,17 @@ def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: i
             fs.move(f"{top}/.{name}.{attempt}", f"{top}/{name}")
             done.append((f"{root}/{name}", part, seq, out_bytes, writer.entries, writer.n_ids, writer.first, writer.last))
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                some = batch.slice(at, 1024)
-                for k, ids in zip(some.column(0).to_pylist(), tokens.ids(some.column(1).to_pylist()), strict=True):
-                    if writer is None:
-                        out = fs.open_output_stream(f"{top}/.{part:06d}-{seq:05d}.sst.{attempt}")
-                        writer = ShardWriter(out)
-                    ids += end
-                    writer.add(key_bytes(k), pack_ids(ids), len(ids) // 4)
-                    if writer.at >= shard_bytes:
-                        close()
-                        seq, writer = seq + 1, None
+        for some in sized(batches, 1, ENCODE_BYTES):
+            ids, ends = tokens.encode(some.column(1), end_id)
+            ends = ends.tolist()
+            for k, a, b in zip(some.column(0).to_pylist(), ends[:-1], ends[1:], strict=True):
+                if writer is None:
+                    out = fs.open_output_stream(f"{top}/.{part:06d}-{seq:05d}.sst.{attempt}")
+                    writer = ShardWriter(out)
+                writer.add(key_bytes(k), pack_ids(ids[a:b]), b - a)
+                if writer.at >= shard_bytes:
+                    close()
+                    seq, writer = seq + 1, None
         if writer is not None:
             close()
         if done:

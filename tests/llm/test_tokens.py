@@ -1,17 +1,20 @@
 """op1, op10 and the chunk encoder against the tokenizers library and exact round trips."""
 
 import io
+import json
 import random
 import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
 
 from siltstone.llm import packing, sstable
-from siltstone.llm.encoding import ChunkEncoder
+from siltstone.llm.common import sized
+from siltstone.llm.encoding import Encoder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, seq long, cell string"
 ODD = ["", " ", " a", "a  b", "a   b\n\n c ", "don't I'LL 's x", "a<|endoftext|> b <|startoftext|>", "\x1c a", "a \x1cb", "ΑΣ ΑΣ ΟΔΥΣΣΕΥΣ", "é ́x", "a b c", " 　 x y", "a\tb \n c d\x00 e f", "x" * 300 + " " + "y" * 90, "퟿ \U0001f600 ok"]
@@ -25,13 +28,45 @@ def rows():
     return out + [(1000 + i, " ".join(rnd.choices(["alpha", "beta", "gamma", "Delta."], k=rnd.randint(1, 900))), "en", "s", 1, "", 0, "") for i in range(120)]
 
 
+ODD += ["\n", "\n\n", "a\n\n\nb", "a\nb \nc", "\na", "x\n", "İa ıI ȺȾ Ɂ", "l'std we'll 've", "a1b2 ²³ ½x «q» ¿Que? (word) a'", "\xad \x85a \xa0b", "日本語 text 漢字. Привет мир!", "a\u2003b c", "\0 a\0b", "pre<|endoftext|>post", "é" * 60 + "."]
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_chunks_give_the_ids_of_the_whole_text(name):
-    chunked, whole = ChunkEncoder(P.path(name), cached=5), Tokenizer.from_file(P.path(name))
-    assert chunked.kind != "whole"
-    for _ in range(2):
-        for text, ids in zip(ODD, chunked.ids(ODD), strict=True):
-            assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+    chunked, whole = Encoder(P.path(name)), Tokenizer.from_file(P.path(name))
+    assert chunked.kind != "whole" and chunked.quick
+    rnd = random.Random(name)
+    signs = ["a", "b", "é", "Ü", "1", "'s", "'", ".", "-", " ", " ", "  ", "\n", "\t", "ß", "ll", "日", "\xa0"]
+    made = ODD + ["".join(rnd.choices(signs, k=rnd.randint(1, 40))) for _ in range(3000)]
+    for text, ids in zip(made, chunked.ids(made), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+    ids, at = chunked.encode(pa.array([None, "", "two words"]), 7)
+    assert at[:3].tolist() == [0, 1, 2] and ids[[0, 1, -1]].tolist() == [7] * 3
+    ids, at = chunked.encode(pa.array([], pa.string()), 7)
+    assert len(ids) == 0 and at.tolist() == [0]
+
+
+def test_unknown_splitting_is_left_to_the_library(tmp_path):
+    """A file that splits otherwise is not cut at spaces."""
+    file = json.loads(open(P.path("word_bpe_49k.json")).read())
+    file["pre_tokenizer"]["pretokenizers"][0]["pattern"] = {"Regex": "[a-z ]+"}
+    (tmp_path / "t.json").write_text(json.dumps(file))
+    mine, whole = Encoder(str(tmp_path / "t.json")), Tokenizer.from_file(str(tmp_path / "t.json"))
+    assert mine.kind == "whole"
+    for text in ODD:
+        assert np.frombuffer(mine.ids([text])[0], "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_batches_of_bounded_size():
+    rnd = random.Random(6)
+    rows = [(i, rnd.choice([None, "", "x" * rnd.randint(0, 30), "y" * 200])) for i in range(400)]
+    table = pa.table({"i": [i for i, _ in rows], "t": [t for _, t in rows]})
+    for step in (1, 7, 400):
+        out = list(sized(table.to_batches(step), 1, 100))
+        assert [tuple(r.values()) for b in out for r in b.to_pylist()] == rows
+        assert all(b.num_rows == 1 or sum(len(t or "") for t in b.column(1).to_pylist()) <= 100 for b in out)
+        assert len(out) < 300
+    assert list(sized([], 1, 100)) == []
 
 
 def test_shard_round_trip_and_lookup():
@@ -76,6 +111,7 @@ def test_op1_against_the_library(spark):
     assert order == sorted(order, key=lambda k: (k is not None, k))
     found = store.lookup(spark.createDataFrame([(7,), (200,), (999,), (1005,)], "doc_id long")).collect()
     assert sorted(r.key for r in found) == [7, 7, 7, 7, 200, 1005]
+    assert store.lookup(spark.createDataFrame([(None,)], "doc_id long")).count() == 2
 
 
 def test_op1_of_nothing(spark):
