@@ -2,8 +2,9 @@
 
 ``grams`` turns a batch of texts into hashed character n-grams with numpy; ``Linear`` is a multinomial logistic
 regression over TF-IDF of them, trained with follow-the-regularised-leader (per-coordinate rates, elastic net) and
-calibrated with a temperature. TF is the share of a text's n-grams, so that a text's score is a mean over n-grams and
-texts of any length are scored in pieces of bounded size.
+calibrated with a temperature. TF is the share of a text's n-grams, so that a text's score is a mean over n-grams. A long
+text is read in pieces; a piece begins with the end of the one before, so that no n-gram is lost or counted twice and a
+score doesn't depend on the pieces.
 """
 
 from __future__ import annotations
@@ -15,19 +16,25 @@ import numpy as np
 
 from .common import worker_state
 
-#: Code points handled at once; a longer text is scored in pieces of it, which cut at most two n-grams each.
+#: Code points handled at once.
 PIECE = 1 << 18
+#: Characters of the longest n-gram.
+LONGEST = 3
 
 
 def _table(kind: str) -> np.ndarray:
-    """For each code point what stands for it. "letters": itself if a letter, else a space. "all": digits as 0, white
-    space as a space, all else itself."""
+    """For each code point what stands for it. "letters": its lower case if a letter, else a space. "all": digits as 0,
+    white space as a space, all else itself. A lower case of several characters is left out: each has one place."""
 
     def make() -> np.ndarray:
         out = np.arange(0x110000, dtype=np.uint32)
         test = lambda f: np.fromiter((f(chr(i)) for i in range(0x110000)), bool, 0x110000)
         if kind == "letters":
-            out[~test(str.isalpha)] = 32
+            letters = test(str.isalpha)
+            out[~letters] = 32
+            for i in np.flatnonzero(letters).tolist():
+                if len(low := chr(i).lower()) == 1:
+                    out[i] = ord(low)
         else:
             out[test(str.isspace)] = 32
             out[test(str.isdigit)] = 48
@@ -36,45 +43,60 @@ def _table(kind: str) -> np.ndarray:
     return worker_state(f"table {kind}", make)
 
 
-def pieces(texts: list[str], limit: int = PIECE, batch: int | None = None) -> Iterator[tuple[list[int], list[str]]]:
-    """Batches of at most ``batch`` code points (``limit`` if not given) or one part: which text each part belongs to, and
-    the parts, of at most ``limit`` code points."""
+def coded(texts: list[str], kind: str, batch: int = PIECE, piece: int = PIECE) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, int]]:
+    """Batches of about ``batch`` code points, or pieces of ``piece`` of a longer text: (the text that each part belongs to,
+    code points, the part of each, how many of the first ones were in the piece before). Of a run of spaces the first stays."""
+    table = _table(kind)
+    points = lambda text: table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
     owners: list[int] = []
     parts: list[str] = []
     size = 0
+
+    def joined():
+        code = points("".join(parts))
+        doc = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
+        keep = code != 32
+        keep[1:] |= (code[:-1] != 32) | (doc[1:] != doc[:-1])
+        keep[:1] = True
+        return list(owners), code[keep], doc[keep], 0
+
     for i, text in enumerate(texts):
-        for at in range(0, len(text), limit):
-            part = text[at : at + limit]
-            if size + len(part) > (batch or limit) and parts:
-                yield owners, parts
-                owners, parts, size = [], [], 0
+        if size and size + len(text) > batch:
+            yield joined()
+            owners, parts, size = [], [], 0
+        if len(text) <= piece:
             owners.append(i)
-            parts.append(part)
-            size += len(part)
+            parts.append(text)
+            size += len(text)
+            continue
+        carry = np.empty(0, np.uint32)
+        for at in range(0, len(text), piece):
+            code = points(text[at : at + piece])
+            keep = code != 32
+            keep[1:] |= code[:-1] != 32
+            keep[0] |= not len(carry) or carry[-1] != 32
+            code = np.concatenate([carry, code[keep]])
+            yield [i], code, np.zeros(len(code), np.int32), len(carry)
+            carry = code[-(LONGEST - 1) :].copy()
     if parts:
-        yield owners, parts
+        yield joined()
 
 
-def grams(parts: list[str], kind: str, bits: int, longest: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """(hashed n-grams of 1 to ``longest`` characters, the part that each belongs to), in no order."""
-    if kind == "letters":
-        parts = [p.lower() for p in parts]
-    code = _table(kind)[np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4")]
-    doc = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
+def grams(code: np.ndarray, doc: np.ndarray, bits: int, lead: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(hashed n-grams of 1 to LONGEST characters, the part that each belongs to), in no order; without those that end
+    within the first ``lead`` code points."""
     if not len(code):
         return np.empty(0, np.int64), doc
-    keep = code != 32  # of a run of spaces the first stays
-    keep[1:] |= (code[:-1] != 32) | (doc[1:] != doc[:-1])
-    keep[0] = True
-    code, doc = code[keep].astype(np.uint64), doc[keep]
+    code = code.astype(np.uint64)
     out, own = [], []
     h = np.zeros(len(code), np.uint64)
-    for n in range(1, longest + 1):
+    for n in range(1, LONGEST + 1):
         m = len(code) - n + 1
         if m <= 0:
             break
         h = (h[:m] * np.uint64(0x9E3779B97F4A7C15)) ^ (code[n - 1 :] + np.uint64(n))
         whole = doc[:m] == doc[n - 1 :]
+        whole[: max(0, lead - n + 1)] = False
         if n == 1:
             whole &= code != 32
         mixed = h[whole] * np.uint64(0xD6E8FEB86659FD93)
@@ -86,14 +108,21 @@ def grams(parts: list[str], kind: str, bits: int, longest: int = 3) -> tuple[np.
 def counts(texts: list[str], kind: str, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """(features, counts) of each text, for training."""
     out: list[list] = [[] for _ in texts]
-    for owners, parts in pieces(texts):
-        feature, doc = grams(parts, kind, bits)
+    for owners, code, doc, lead in coded(texts, kind):
+        feature, doc = grams(code, doc, bits, lead)
         order = np.argsort(doc, kind="stable")
-        cuts = np.searchsorted(doc[order], np.arange(len(parts) + 1))
+        cuts = np.searchsorted(doc[order], np.arange(len(owners) + 1))
         for i, owner in enumerate(owners):
-            out[owner].append(feature[order[cuts[i] : cuts[i + 1]]].astype(np.int32))
-    found = (np.unique(np.concatenate(o), return_counts=True) if o else (np.empty(0, np.int32), np.empty(0, np.int32)) for o in out)
-    return [(f, c.astype(np.int32)) for f, c in found]
+            out[owner].append(np.unique(feature[order[cuts[i] : cuts[i + 1]]], return_counts=True))
+
+    def summed(parts):
+        if len(parts) == 1:
+            return parts[0]
+        features, place = np.unique(np.concatenate([f for f, _ in parts]), return_inverse=True)
+        return features, np.bincount(place, np.concatenate([c for _, c in parts])).astype(np.int64)
+
+    found = (summed(o) if o else (np.empty(0, np.int64), np.empty(0, np.int64)) for o in out)
+    return [(f.astype(np.int32), c.astype(np.int32)) for f, c in found]
 
 
 @dataclass
@@ -119,24 +148,24 @@ class Linear:
                 sums[full, k] = np.add.reduceat(self.weights[rows, k].astype(np.float64), starts)
         return sums, size
 
-    def text_logits(self, texts: list[str], kind: str) -> np.ndarray:
+    def text_logits(self, texts: list[str], kind: str, piece: int = PIECE) -> np.ndarray:
         bits, k = len(self.row).bit_length() - 1, self.weights.shape[1]
         total, size = np.zeros((len(texts), k)), np.zeros(len(texts))
-        for owners, parts in pieces(texts, max(1 << 14, PIECE // max(1, k // 4))):
-            s, n = self.logits_of(*grams(parts, kind, bits), len(parts))
+        for owners, code, doc, lead in coded(texts, kind, 1 << 16, piece):
+            s, n = self.logits_of(*grams(code, doc, bits, lead), len(owners))
             np.add.at(total, owners, s)
             np.add.at(size, owners, n)
         return total / np.maximum(size + self.shrink, 1)[:, None] + self.bias
 
-    def text_odds(self, texts: list[str], kind: str) -> np.ndarray:
+    def text_odds(self, texts: list[str], kind: str, piece: int = PIECE) -> np.ndarray:
         """The second class's logit less the first's."""
         gain = self.weights.astype(np.float64) @ [-1.0, 1.0]
         gain, bits = gain[self.row], len(self.row).bit_length() - 1
         total, size = np.zeros(len(texts)), np.zeros(len(texts))
-        for owners, parts in pieces(texts, batch=1 << 15):
-            feature, doc = grams(parts, kind, bits)
-            np.add.at(total, owners, np.bincount(doc, gain[feature], len(parts)))
-            np.add.at(size, owners, np.bincount(doc, minlength=len(parts)))
+        for owners, code, doc, lead in coded(texts, kind, 1 << 15, piece):
+            feature, doc = grams(code, doc, bits, lead)
+            np.add.at(total, owners, np.bincount(doc, gain[feature], len(owners)))
+            np.add.at(size, owners, np.bincount(doc, minlength=len(owners)))
         return total / np.maximum(size + self.shrink, 1) + self.bias[1] - self.bias[0]
 
     def share(self, logits: np.ndarray) -> np.ndarray:
