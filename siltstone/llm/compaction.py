@@ -9,13 +9,18 @@ none, and a job that dies before its commit leaves files that no manifest lists.
 * compact: runs are put into tiers by size (each tier ``fan`` times the one before). While a tier has ``fan`` runs or
   more, they are merged into files of about ``target_bytes`` as one run, and the next manifest is committed. Files read
   by tasks are packed by size, so a merge has no shuffle and no sort, and rows keep to the task that reads them.
-* files that the last ``keep_versions`` manifests don't list are deleted by ``expire``.
+* files that the last ``keep_versions`` manifests don't list are deleted by ``expire``, and so are older manifests.
+  A writer that loses a race for a version tries again on the newer one (an append) or drops what it wrote (a merge);
+  files of a job that died before its commit are found by ``vacuum``.
+
+A manifest has some 150 bytes a file: with files of the target size it stays in the tens of MB at 100 TB.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -32,6 +37,15 @@ class File:
     run: str
 
 
+def nullable(node):
+    """A schema's JSON in which everything may be null."""
+    if isinstance(node, list):
+        return [nullable(x) for x in node]
+    if isinstance(node, dict):
+        return {k: True if k in ("nullable", "containsNull", "valueContainsNull") else v if k == "metadata" else nullable(v) for k, v in node.items()}
+    return node
+
+
 class ShardStore:
     """A folder (any Hadoop file system) of shards under versioned manifests."""
 
@@ -51,8 +65,12 @@ class ShardStore:
         """The newest committed version; 0: none."""
         top = self._path("manifests")
         fs = self._system()
-        names = [s.getPath().getName() for s in fs.listStatus(top)] if fs.exists(top) else []
-        return max((int(n[1:-5]) for n in names if n[0] == "v" and n.endswith(".json")), default=0)
+        return max((self._number(s.getPath().getName()) for s in fs.listStatus(top)), default=0) if fs.exists(top) else 0
+
+    @staticmethod
+    def _number(name: str) -> int:
+        """A manifest's version by its name; 0: not a manifest."""
+        return int(name[1:-5]) if name[0] == "v" and name.endswith(".json") else 0
 
     def manifest(self, version: int | None = None) -> dict:
         version = self.version() if version is None else version
@@ -96,22 +114,40 @@ class ShardStore:
                 files.append(File(s.getPath().toString(), s.getLen(), run))
         return files
 
-    def append(self, df: DataFrame, arrival: str | None = None) -> int:
-        """Commit df as one run or, with ``arrival``, as one run for each value of that column, in a single pass.
+    def _drop(self, files: list[File]) -> None:
+        for f in files:
+            self._system().delete(self._fs.Path(f.path), False)
+
+    def append(self, df: DataFrame, arrival: str | None = None, tries: int = 10) -> int:
+        """Commit df as one run or, with ``arrival``, as one run and one version for each value of that column, written in a
+        single pass; the newest version.
 
-        The column ``arrival`` isn't stored. An empty df commits a version without new files.
+        The column ``arrival`` isn't stored. An empty df commits a version without new files. Columns must be those of the
+        store by name and type, whether they may hold nulls or not.
         """
         run = uuid.uuid4().hex[:12]
-        schema = df.drop(arrival).schema.json() if arrival else df.schema.json()
-        before = self.manifest()
-        if before["schema"] not in (None, schema):
+        schema = json.dumps(nullable(json.loads((df.drop(arrival) if arrival else df).schema.json())))
+        before = self.manifest()["schema"]
+        if before not in (None, schema):
             raise ValueError("the columns differ from the store's")
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(arrival) if arrival else writer).parquet(f"{self.root}/runs/{run}")
         new = self._written(f"runs/{run}", run)
         if arrival:
             new = [File(f.path, f.bytes, f"{run}-{f.path.rsplit('/', 2)[1]}") for f in new]
-        return self.commit(before["version"], self.files(before["version"]) + new, schema)
+        version = 0
+        for one in sorted({f.run for f in new}) or [run]:
+            own = [f for f in new if f.run == one]
+            for k in range(tries):
+                now = self.manifest()
+                try:
+                    version = self.commit(now["version"], [File(**f) for f in now["files"]] + own, schema)
+                    break
+                except FileExistsError:  # another writer was first
+                    if k == tries - 1:
+                        self._drop(own)
+                        raise
+        return version
 
     def read(self, version: int | None = None) -> DataFrame:
         """All rows of a version, exactly once."""
@@ -153,15 +189,37 @@ class ShardStore:
             n = max(1, math.ceil(sum(f.bytes for f in old) / self.target_bytes))
             merged = self.spark.read.schema(schema).parquet(*[f.path for f in old])
             merged.coalesce(n).write.option("compression", "zstd").parquet(f"{self.root}/runs/{run}")
-            self.commit(now["version"], [f for f in files if f.run not in runs] + self._written(f"runs/{run}", run), now["schema"])
+            new = self._written(f"runs/{run}", run)
+            try:
+                self.commit(now["version"], [f for f in files if f.run not in runs] + new, now["schema"])
+            except FileExistsError:
+                self._drop(new)
 
     def expire(self, keep_versions: int = 1) -> None:
-        """Delete files that only versions before the last ``keep_versions`` list."""
+        """Delete files that only versions before the last ``keep_versions`` list, and these versions."""
         last = self.version()
-        live = {f.path for v in range(max(1, last - keep_versions + 1), last + 1) for f in self.files(v)}
-        gone = {f.path for v in range(1, max(1, last - keep_versions + 1)) for f in self.files(v)} - live
-        for path in sorted(gone):
-            self._system().delete(self._fs.Path(path), False)
+        first = max(1, last - keep_versions + 1)
+        live = {f.path for v in range(first, last + 1) for f in self.files(v)}
+        fs, top = self._system(), self._path("manifests")
+        old = sorted(v for s in (fs.listStatus(top) if fs.exists(top) else []) if (v := self._number(s.getPath().getName())) and v < first)
+        for v in old:
+            self._drop([f for f in self.files(v) if f.path not in live])
+            fs.delete(self._path(f"manifests/v{v:09d}.json"), False)
+
+    def vacuum(self, older_than: float = 7 * 86400) -> int:
+        """Delete files below runs that no version lists and that are older than so many seconds, as no job that wrote them
+        can still be on its way to a commit; how many."""
+        fs, top = self._system(), self._path("manifests")
+        versions = [v for s in (fs.listStatus(top) if fs.exists(top) else []) if (v := self._number(s.getPath().getName()))]
+        live = {f.path for v in versions for f in self.files(v)}
+        runs, gone, limit = self._path("runs"), 0, 1000 * (time.time() - older_than)
+        found = fs.listFiles(runs, True) if fs.exists(runs) else None
+        while found is not None and found.hasNext():
+            s = found.next()
+            if s.getPath().toString() not in live and s.getModificationTime() <= limit:
+                fs.delete(s.getPath(), False)
+                gone += 1
+        return gone
 
 
 def op2_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +229,8 @@ def op2_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.pmod(F.xxhash64("doc_id", "text"), F.lit(64))
     arrival = F.when(h < 16, h).otherwise(16 + h % 16)
     store = ShardStore(spark, Scratch(spark, "shards").root)
-    store.append(docs.withColumn("arrival", arrival), arrival="arrival")
+    name = "arrival" + "_" * max(map(len, docs.columns), default=0)  # none of the table's own
+    store.append(docs.withColumn(name, arrival), arrival=name)
     store.compact()
     store.expire()
     return store.read().select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("text_md5"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table, utf8
+from .common import Scratch, sized, table, utf8
 
 # Element ids of the Matroska format (fixed values).
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -32,6 +32,8 @@ DOC_TYPE, SEEK_HEAD, TAGS, CHAPTERS, ATTACHMENTS = 0x4282, 0x114D9B74, 0x1254C36
 TOP = {INFO, TRACKS, CLUSTER, CUES, SEEK_HEAD, TAGS, CHAPTERS, ATTACHMENTS, SEGMENT, EBML}
 
 FRAME, RATE, LACED, CLUSTER_BLOCKS = 576, 8000, 8, 32
+#: Bytes of texts or files that a task handles at once.
+MEDIA_BYTES = 8 << 20
 #: Nanoseconds of a timestamp unit; a frame lasts a whole number of them, and a cluster fewer than 2^15.
 UNIT = 1_000_000
 
@@ -239,11 +241,9 @@ def encode_media(docs: DataFrame) -> DataFrame:
     """doc_id, text -> (doc_id, n_bytes, media). Null text is empty; every row gives a file."""
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                made = [payload_of(t) for t in some.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([some.column(0).cast(pa.int64()), pa.array([n for _, n in made], pa.int64()), pa.array([write(p) for p, _ in made], pa.binary())], ["doc_id", "n_bytes", "media"])
+        for some in sized(batches, 1, MEDIA_BYTES):
+            made = [payload_of(t) for t in some.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([some.column(0).cast(pa.int64()), pa.array([n for _, n in made], pa.int64()), pa.array([write(p) for p, _ in made], pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
@@ -253,7 +253,7 @@ def packets(media: DataFrame, keep: str = "doc_id") -> DataFrame:
     parsed has one row with its error."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sized(batches, 1, MEDIA_BYTES):
             for row in batch.to_pylist():
                 out = []
                 if row["media"] is not None:
@@ -279,22 +279,30 @@ def feature_of(found: dict) -> str:
 
 
 def media_digest(media: DataFrame) -> DataFrame:
-    """The payload gathered from the packets of each stored file, its digests and the file's features."""
+    """(doc_id, n_bytes, media) -> the payload gathered from the packets of each stored file, its digests and the file's
+    features. Null media has nulls in all of these; a file that can't be parsed has its own length and digest, and the
+    error as its feature. Every row gives one; other columns are ignored."""
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+
+    def digest(data: bytes | None) -> tuple:
+        if data is None:
+            return (None,) * 6
+        stored = (len(data), hashlib.sha256(data).hexdigest())
+        try:
+            found = parse(data)
+        except (ValueError, IndexError, struct.error) as e:
+            return (None, None, None, *stored, f"error={e}")
+        payload = b"".join([data[a:b] for _, _, a, b, _, _ in found["packets"]])
+        return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), *stored, feature_of(found))
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                out = []
-                for row in batch.slice(at, 256).to_pylist():
-                    data = row["media"]
-                    found = parse(data)
-                    payload = b"".join([data[a:b] for _, _, a, b, _, _ in found["packets"]])
-                    out.append((row["doc_id"], row["n_bytes"], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature_of(found)))
-                if out:
-                    types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+        for some in sized(batches, 2, MEDIA_BYTES):
+            out = [(row["doc_id"], row["n_bytes"], *digest(row["media"])) for row in some.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    kinds = ", ".join(f"{n} {'string' if t == pa.string() else 'long'}" for n, t in zip(names, types, strict=True))
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, kinds)
 
 
 def op4_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:

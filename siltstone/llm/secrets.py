@@ -121,12 +121,18 @@ class Rule:
     fold: bool = False
     regex: re.Pattern = field(init=False, compare=False)
     query: Query = field(init=False, compare=False)
+    runs: re.Pattern | None = field(init=False, compare=False)
 
     def __post_init__(self):
         object.__setattr__(self, "regex", re.compile(self.pattern, re.ASCII | (re.IGNORECASE if self.fold else 0)))
         object.__setattr__(self, "query", trigram_query(self.pattern))
+        # a run of one set has no shorter match at its place: too short ones need not be tried
+        run = self.group == 0 and self.least > 1 and re.fullmatch(r"(\[[^\[\]\\^]+\])\+", self.pattern)
+        object.__setattr__(self, "runs", re.compile(f"{run[1]}{{{self.least},}}", self.regex.flags & ~re.UNICODE) if run else None)
 
     def spans(self, text: str) -> list[tuple[int, int]]:
+        if self.runs is not None:
+            return [m.span() for m in self.runs.finditer(text)]
         return [m.span() for m in self.regex.finditer(text) if m.end(self.group) - m.start(self.group) >= self.least]
 
 
@@ -143,12 +149,10 @@ _KEY_BODY = (
 )
 MORE = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----" + _KEY_BODY),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 20),
 )
-#: Runs of hex digits that are long enough, found without trying the shorter ones.
-_HEX = re.compile(r"[0-9a-f]{32,}")
 
 
 def _asked(query: Query) -> set[bytes]:
@@ -211,11 +215,7 @@ def scan_texts(texts: list[str], rules: tuple[Rule, ...], index: TrigramIndex) -
     out: list[dict] = [{} for _ in texts]
     for rule in rules:
         for i in candidates(rule.query, postings, len(texts)).tolist():
-            if rule.kind == "hex" and rule.least == 32:
-                found = [m.span() for m in _HEX.finditer(texts[i])]
-            else:
-                found = rule.spans(texts[i])
-            if found:
+            if found := rule.spans(texts[i]):
                 out[i][rule.kind] = found
     return out
 

@@ -1,6 +1,7 @@
 """Private keys go whole, not their first line alone."""
 
 import re
+import time
 
 from siltstone.llm import secrets
 
@@ -31,3 +32,25 @@ def test_the_first_line_still_gives_the_trigrams():
     pem = next(r for r in secrets.MORE if r.kind == "pem")
     assert pem.query == secrets.trigram_query(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
     assert len(re.findall(pem.pattern, (HEAD + " ") * 20_000)) == 20_000
+
+
+def test_a_rule_counts_by_its_pattern_not_by_its_name():
+    rule = secrets.Rule("hex", r"0x[0-9a-f]+", 32)
+    assert rule.spans("0x" + "a" * 40) == [(0, 42)] and rule.runs is None
+    base = secrets.BASE[2]
+    text = "f" * 31 + " " + "0a" * 16 + "g" + "1" * 40
+    assert base.runs is not None and base.spans(text) == [m.span() for m in re.finditer(base.pattern, text) if m.end() - m.start() >= 32]
+
+
+def test_long_runs_take_linear_time():
+    took = []
+    for n in (100_000, 400_000):
+        began = time.process_time()
+        for unit in ("eyJ", "eyJa.", "password = ", "-----BEGIN ", "AKIA", "abcdef0", "ghp_", "xoxb-", "token"):
+            text = unit * (n // len(unit))
+            for rule in secrets.BASE + secrets.MORE:
+                rule.spans(text)
+        took.append(time.process_time() - began)
+    assert took[1] < 16 * max(took[0], 0.02)
+    jwt = next(r for r in secrets.MORE if r.kind == "jwt")
+    assert jwt.spans("a eyJab.eyJcd.ef-_ b") == [(2, 18)] and jwt.spans("eyJ" * 9 + ".eyJc.d")
