@@ -4,8 +4,9 @@ Vectors become sparse integer rows. Candidates are dealt into blocks of bounded
 (dimension): the rows where the term is not zero and their weights. For each query the terms are taken one after the
 other, and each scatters its weight times the postings into an array of the block's scores. Where a term's postings
 hold every row of the block the scatter is an addition of whole arrays. The k best of a block follow from a partition
-selection, and the blocks' winners are merged by query. All queries meet all candidates, in blocks: the work is
-queries x candidates, memory is one block of candidates and one batch of scores, and nothing is broadcast.
+selection, and the blocks' winners are merged by query. Queries are dealt into blocks as well, and a task is one block of
+queries against one block of candidates: the work is queries x candidates, a task holds the two blocks, the scores of a
+batch of queries and k rows a query, and nothing is broadcast. Blocks grow in number with the rows, never in size.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql.window import Window
 
 from .common import table
 
-#: Candidates in a block, and queries whose scores are held at once.
-BLOCK, BATCH = 4096, 64
+#: Candidates and queries in a block, and queries whose scores are held at once.
+BLOCK, ASKED, BATCH = 4096, 2048, 64
 
 
 def sparse_rows(df: DataFrame, vector: str = "embedding", scale: float = 64.0) -> DataFrame:
@@ -77,26 +78,34 @@ def block_top(queries: pd.DataFrame, block: pd.DataFrame, k: int) -> pd.DataFram
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
 
 
-def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, block: int = BLOCK) -> DataFrame:
+def pairs_of_blocks(queries: DataFrame, candidates: DataFrame, block: int, asked: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with columns (a, b), the blocks of queries and of candidates that meet: each query once with each block of
+    candidates and each candidate once with each block of queries."""
+    n_asked, n_blocks = (max(1, -(-df.count() // size)) for df, size in ((queries, asked), (candidates, block)))
+    # by content and not by id alone: an id that repeats must not fill a block
+    deal = lambda df, key, n: F.pmod(F.xxhash64(key, "v"), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = queries.withColumn("a", deal(queries, "query_id", n_asked)).withColumn("b", every(n_blocks))
+    right = candidates.withColumn("b", deal(candidates, "vec_id", n_blocks)).withColumn("a", every(n_asked))
+    return left, right
+
+
+def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, block: int = BLOCK, asked: int = ASKED) -> DataFrame:
     """queries (query_id, v) and candidates (vec_id, v), v array<long> -> (query_id, rank, vec_id, score).
 
     A candidate with the query's id is the query's own row and left out; a null id takes no part. Vectors of unequal
-    length are as if filled up with zeros. Repeated candidates count one by one, repeated queries once. Scores beyond
-    64 bits are not defined. A query without candidates, or an empty table, gives no row.
+    length are as if filled up with zeros. Repeated candidates count one by one. Repeated queries count once; of several
+    vectors under one query_id the least one, compared by component, asks. Scores beyond 64 bits are not defined. A query
+    without candidates, or an empty table, gives no row.
     """
-    candidates = candidates.where("vec_id is not null")
-    n = candidates.count()
-    blocks = max(16, -(-n // block))
-    # by content and not by id alone: an id that repeats must not fill a block
-    dealt = candidates.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)))
-    dealt = dealt.withColumn("block", F.when(F.lit(n <= 16), F.lit(0)).otherwise(F.col("block")))
-    asked = queries.where("query_id is not null").dropDuplicates(["query_id", "v"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    queries = queries.where("query_id is not null").groupBy("query_id").agg(F.min("v").alias("v"))
+    left, right = pairs_of_blocks(queries, candidates.where("vec_id is not null"), block, asked)
 
     def search(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         parts = [block_top(q.iloc[i : i + BATCH], c, k) for i in range(0, len(q), BATCH)] if len(c) else []
         return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
 
-    found = asked.groupBy("block").cogroup(dealt.groupBy("block")).applyInPandas(search, "query_id long, vec_id long, score long")
+    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(search, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
