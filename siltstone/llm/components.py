@@ -19,13 +19,14 @@ def connected_components(scratch: Scratch, edges: DataFrame, name: str) -> DataF
     state, k = None, 0
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        # tables, so that both sides of the joins are plain shuffles and Spark can split a node of many neighbours
+        least = scratch.table(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), f"{name}{k}least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = scratch.table(large, f"{name}{k}large")
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        down = scratch.table(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}{k}down")
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(down.select("u", F.col("m").alias("v"))).distinct()
         after = scratch.table(small, f"{name}{k + 1}")
-        scratch.drop(f"{name}{k}", f"{name}{k}large")
+        scratch.drop(f"{name}{k}", *(f"{name}{k}{part}" for part in ("large", "least", "down")))
         now, k = after, k + 1
         new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if new == state:

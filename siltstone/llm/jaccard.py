@@ -8,16 +8,21 @@ and differ in how they order tokens of one frequency.
 
 Steps, none of which gathers more than bounded blocks in a task:
 
-1. Each input partition is a chunk: its shingles are computed, its distinct texts kept in a file of the shared folder,
-   and its token counts sent as compressed sorted runs, one for each range of the hash space. A document becomes a row
-   (doc_id, n, sig) with sig a 128-bit digest of its set: documents of one sig form a class.
+1. Documents are read in chunks of a bounded number of tokens: shingles are computed, a chunk's distinct texts kept in a
+   file of the shared folder, and its token counts sent as compressed sorted runs, one for each range of the hash space.
+   A document becomes a row (doc_id, n, sig) with sig a 128-bit digest of its set: documents of one sig form a class.
 2. For each range the runs are merged to document frequencies; each chunk gets back those of its tokens that others
    have as well. Tokens of one document alone can't link, so most documents end here.
 3. For each chunk, the prefixes of its classes under each order: classes with a prefix token that others have.
-4. Classes that share a prefix token of the first order, by way of the token's least class, form candidate groups.
-5. Groups are cut into blocks by size level and hash; pairs of blocks whose levels can link are one task each. There
-   the prefix filters of all orders are intersected and the remaining pairs verified. Every link counts, and a
-   spanning forest of the links goes on.
+4. Candidates share a prefix token of the first order. The home of a class is the least class that it shares one with;
+   classes of one home are cut by size level and hash into units of at most ``SETS``. For each token, its classes go to
+   the units that its other classes are in: a task is a pair of units. A token whose classes are spread over more than
+   ``FEW`` units has tasks of its own instead: its classes are dealt into blocks, and each pair of blocks is a task.
+   So copies that share many tokens meet in one place and go there once, and no task or row depends on chains of
+   candidates, which may run through a whole corpus.
+5. In a task the prefix filters of all orders are intersected and the remaining pairs verified. A pair that shares
+   tokens of the second kind is left to the task of the least of these, so each pair counts once. Every link counts,
+   and a spanning forest of the links goes on.
 6. Components over classes, then over documents.
 
 Frequencies only order tokens; counting a token twice in different chunks or a collision of truncated hashes costs
@@ -37,15 +42,17 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, filesystem, table, utf8
+from .common import Scratch, filesystem, sized, table, utf8
 from .components import connected_components
 from .shingles import mix, text_sets
 
 ORDERS = 3
-#: Tokens that a chunk counts before it sends a run, and tokens of a hash range.
+#: Tokens of a chunk, and of a hash range.
 RUN, RANGE = 3_000_000, 1_000_000
-#: Sets of a block: a thirtieth of its group, within these bounds; and tokens of a block.
-BLOCK_SETS, BLOCK_TOKENS = (128, 1024), 2_000_000
+#: Bytes of text that a task turns into sets at once.
+TEXT_BYTES = 4 << 20
+#: Sets and tokens of a unit or block, and units that a token's classes go to by pairs of units.
+SETS, SET_TOKENS, FEW = 512, 2_000_000, 32
 _SALT = [np.uint64(0), np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)]
 
 
@@ -109,7 +116,8 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 
 
 def block_links(left: list[list[np.ndarray]], right: list[list[np.ndarray]], percent: int, same: bool) -> np.ndarray:
-    """Which of the pairs link. Each set comes with its prefixes behind it: [set, prefix 1, prefix 2, ...]."""
+    """Which of the pairs link. Each set comes with its prefixes behind it and with tokens that two sets of a pair must not
+    share: [set, prefix 1, prefix 2, ..., others]."""
     n, m = (np.array([len(x[0]) for x in side], np.int64) for side in (left, right))
     maybe = (100 * np.minimum.outer(n, m) >= percent * np.maximum.outer(n, m)) & (n > 0)[:, None] & (m > 0)[None, :]
     if same:
@@ -119,6 +127,8 @@ def block_links(left: list[list[np.ndarray]], right: list[list[np.ndarray]], per
             return maybe
         rows, cols = np.flatnonzero(maybe.any(1)), np.flatnonzero(maybe.any(0))
         maybe[np.ix_(rows, cols)] &= common_counts([left[i][k] for i in rows], [right[j][k] for j in cols]) > 0
+    if any(len(x[-1]) for x in left) and any(len(x[-1]) for x in right):
+        maybe &= common_counts([x[-1] for x in left], [x[-1] for x in right]) == 0
     i, j = np.nonzero(maybe)
     if len(i) > 4 * (len(n) + len(m)):
         rows, cols = np.unique(i), np.unique(j)
@@ -157,20 +167,24 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 def _chunks(scratch: Scratch, docs: DataFrame, key: str, key_type: str, size: int, key_bits: int, range_bits: int) -> DataFrame:
     """Step 1: rows (doc_id, n, sig) and rows (chunk, range, keys, counts) in one table, and the chunks' files."""
     root = scratch.path("chunks")
-    schema = pa.schema([("doc_id", pa.int64() if key_type == "long" else pa.string()), ("n", pa.int64()), ("sig", pa.binary()), ("chunk", pa.int32()), ("range", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64() if key_type == "long" else pa.string()), ("n", pa.int64()), ("sig", pa.binary()), ("chunk", pa.int64()), ("range", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+    kept = pa.schema([("sig", pa.binary()), ("text", pa.large_string())])
 
     def run(batches):
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        chunk = task.partitionId()
         fs, top = filesystem(root)
         fs.create_dir(top, recursive=True)
-        held, seen, n_held = [], set(), 0
-        temporary = f"{top}/.{chunk}.{task.taskAttemptId()}"
-        kept = pa.schema([("sig", pa.binary()), ("text", pa.large_string())])
+        chunk, held, seen, n_held, out = task.partitionId() << 24, [], set(), 0, None
+
+        def temporary():
+            return f"{top}/.{chunk}.{task.taskAttemptId()}"
 
         def runs():
+            """The chunk's counts; its file gets its name."""
+            out.close()
+            fs.move(temporary(), f"{top}/{chunk}.parquet")
             keys, counts = np.unique(np.concatenate(held) >> np.uint64(64 - key_bits), return_counts=True)
             cuts = np.searchsorted(keys, np.arange((1 << range_bits) + 1, dtype=np.uint64) << np.uint64(key_bits - range_bits))
             zip_ = zstandard.ZstdCompressor(level=1)
@@ -179,37 +193,30 @@ def _chunks(scratch: Scratch, docs: DataFrame, key: str, key_type: str, size: in
                 base = np.uint64(r) << np.uint64(key_bits - range_bits)
                 yield _batch([(None, None, None, chunk, r, pack_sorted(keys[a:b] - base), zip_.compress(np.minimum(counts[a:b], 65535).astype("<u2").tobytes()))], schema)
 
-        out, any_text = None, False
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                some = batch.slice(at, 2048)
-                rows, fresh, sigs = [], [], []
-                for i, (doc, tokens) in enumerate(zip(some.column(0).to_pylist(), text_sets(some.column(1), size), strict=True)):
-                    sig = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None
-                    rows.append((doc, len(tokens), sig, None, None, None, None))
-                    if sig is not None and sig not in seen:
-                        seen.add(sig)
-                        fresh.append(i)
-                        sigs.append(sig)
-                        held.append(tokens)
-                        n_held += len(tokens)
-                    if n_held >= RUN:
-                        yield from runs()
-                        held, n_held = [], 0
-                yield _batch(rows, schema)
-                if fresh:
-                    if out is None:
-                        out = pq.ParquetWriter(fs.open_output_stream(temporary), kept, compression="zstd")
-                    any_text = True
-                    out.write_table(pa.table([pa.array(sigs, pa.binary()), some.column(1).take(pa.array(fresh)).cast(pa.large_string())], schema=kept))
+        for some in sized(batches, 1, TEXT_BYTES):
+            rows, fresh, sigs = [], [], []
+            for i, (doc, tokens) in enumerate(zip(some.column(0).to_pylist(), text_sets(some.column(1), size), strict=True)):
+                sig = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None
+                rows.append((doc, len(tokens), sig, None, None, None, None))
+                if sig is not None and sig not in seen:
+                    seen.add(sig)
+                    fresh.append(i)
+                    sigs.append(sig)
+                    held.append(tokens)
+                    n_held += len(tokens)
+            yield _batch(rows, schema)
+            if fresh:
+                if out is None:
+                    out = pq.ParquetWriter(fs.open_output_stream(temporary()), kept, compression="zstd")
+                out.write_table(pa.table([pa.array(sigs, pa.binary()), some.column(1).take(pa.array(fresh)).cast(pa.large_string())], schema=kept))
+            if n_held >= RUN:
+                yield from runs()
+                chunk, held, seen, n_held, out = chunk + 1, [], set(), 0, None
         if held:
             yield from runs()
-        if any_text:
-            out.close()
-            fs.move(temporary, f"{top}/{chunk}.parquet")
 
     rows = docs.select(F.col(key).cast(key_type).alias("doc_id"), utf8("text").alias("text"))
-    return scratch.table(rows.mapInArrow(run, f"doc_id {key_type}, n long, sig binary, chunk int, range long, keys binary, counts binary"), "sets")
+    return scratch.table(rows.mapInArrow(run, f"doc_id {key_type}, n long, sig binary, chunk long, range long, keys binary, counts binary"), "sets")
 
 
 def _frequencies(runs: DataFrame) -> DataFrame:
@@ -228,71 +235,108 @@ def _frequencies(runs: DataFrame) -> DataFrame:
                 out.append((chunk, int(pdf["range"].iloc[0]), pack_sorted(own[df > 1]), zstandard.compress(np.minimum(df[df > 1], 65535).astype("<u2").tobytes(), 1)))
         return pd.DataFrame(out, columns=["chunk", "range", "keys", "counts"])
 
-    return runs.groupBy("range").applyInPandas(merge, "chunk int, range long, keys binary, counts binary")
+    return runs.groupBy("range").applyInPandas(merge, "chunk long, range long, keys binary, counts binary")
 
 
 def _classes(scratch: Scratch, shared: DataFrame, size: int, percent: int, key_bits: int, range_bits: int) -> DataFrame:
-    """Step 3: (sig, n, tokens, p1, p2, p3) of the classes that may link; p1 as array<long>, the rest as bytes."""
+    """Step 3: (sig, n, tokens, p1, p2, p3) of the classes that may link; p1 as array<long>, the rest as bytes. A task
+    holds one chunk's tokens and a batch of its texts."""
     root = scratch.path("chunks")
-    columns = ["sig", "n", "tokens", "p1", *[f"p{k}" for k in range(2, ORDERS + 1)]]
+    types = [pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()), *[pa.binary()] * (ORDERS - 1)]
+    schema = pa.schema(list(zip(["sig", "n", "tokens", *[f"p{k}" for k in range(1, ORDERS + 1)]], types, strict=True)))
 
-    def find(key, parts):
-        frames = list(parts)
-        pdf = pd.concat(frames).sort_values("range")
+    def find(chunk, parts):
         keys, counts = [], []
-        for r, part in pdf.groupby("range", sort=True):
-            k = np.concatenate([unpack_sorted(x) for x in part["keys"]])
-            c = np.concatenate([np.frombuffer(zstandard.decompress(x), "<u2") for x in part["counts"]])
-            k, first = np.unique(k, return_index=True)  # a long chunk sends several runs
-            keys.append(k + (np.uint64(r) << np.uint64(key_bits - range_bits)))
-            counts.append(c[first])
+        for r, k, c in parts:
+            keys.append(unpack_sorted(k) + (np.uint64(r) << np.uint64(key_bits - range_bits)))
+            counts.append(np.frombuffer(zstandard.decompress(c), "<u2"))
         keys, counts = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
         fs, top = filesystem(root)
-        out = []
-        with fs.open_input_file(f"{top}/{key[0]}.parquet") as f:
-            for batch in pq.ParquetFile(f).iter_batches(2048):
-                for sig, tokens in zip(batch.column(0).to_pylist(), text_sets(batch.column(1), size), strict=True):
+        with fs.open_input_file(f"{top}/{chunk}.parquet") as f:
+            for some in sized(pq.ParquetFile(f).iter_batches(512), 1, TEXT_BYTES):
+                out = []
+                for sig, tokens in zip(some.column(0).to_pylist(), text_sets(some.column(1), size), strict=True):
                     short = tokens >> np.uint64(64 - key_bits)
                     at = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
                     df = np.where(keys[at] == short, counts[at], 1)
                     if found := prefixes(tokens, df, percent):
                         out.append((sig, len(tokens), tokens.tobytes(), found[0].view(np.int64), *[p.tobytes() for p in found[1:]]))
-                if len(out) >= 4096:
-                    yield pd.DataFrame(out, columns=columns)
-                    out = []
-        yield pd.DataFrame(out, columns=columns)
-
-    schema = "sig binary, n long, tokens binary, p1 array<long>, " + ", ".join(f"p{k} binary" for k in range(2, ORDERS + 1))
-    return shared.groupBy("chunk").applyInPandas(lambda key, pdf: pd.concat(list(find(key, [pdf]))), schema)
+                if out:
+                    yield _batch(out, schema)
 
-
-def _blocks(members: DataFrame, percent: int) -> DataFrame:
-    """Step 5's plan: (sig, root, n) -> also the pairs of blocks that the class takes part in, and its own block."""
+    def run(batches):
+        now, parts = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["chunk"] != now and parts:
+                    yield from find(now, parts)
+                    parts = []
+                now = row["chunk"]
+                parts.append((row["range"], row["keys"], row["counts"]))
+        if parts:
+            yield from find(now, parts)
+
+    ordered = shared.repartition("chunk").sortWithinPartitions("chunk", "range")
+    return ordered.mapInArrow(run, "sig binary, n long, tokens binary, p1 array<long>, " + ", ".join(f"p{k} binary" for k in range(2, ORDERS + 1)))
+
+
+def _tasks(scratch: Scratch, classes: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """Step 4: a row for each class and task, keyed by (token, a, b): the token of the second kind or null, and the units or
+    blocks that meet; mine: the class's own. Classes go by a 64-bit hash of sig here, as the rows are many: two classes of
+    one hash go where either has to, and each pair still meets once. Aggregates that are joined again are tables, so that
+    Spark can split what is skewed in those joins."""
+    table_ = scratch.table
+    sid = F.xxhash64("sig").alias("sid")
+    tokens_of = table_(classes.select(sid, F.explode("p1").alias("token")), "tokens")
+    hubs = table_(tokens_of.groupBy("token").agg(F.min("sid").alias("hub"), F.count("*").alias("m")).where("m > 1"), "hubs")
+    shared = table_(tokens_of.join(hubs.drop("m"), "token"), "shared")
+    scratch.drop("tokens")
     level = F.floor(F.log("n") / math.log(100 / percent)).cast("long")
-    rows = members.withColumn("level", level)
-    least, most = BLOCK_SETS
-    blocks = F.greatest(F.ceil(F.col("m") / F.greatest(F.lit(least), F.least(F.lit(most), F.floor(F.col("m") / 30)))), F.ceil(F.col("t") / BLOCK_TOKENS)).cast("long")
-    levels = rows.groupBy("root", "level").agg(F.count("*").alias("m"), F.sum("n").alias("t")).withColumn("blocks", blocks)
-    groups = levels.groupBy("root").agg((F.sum("m") <= least).alias("few"), (F.sum("t") <= BLOCK_TOKENS).alias("short")).select("root", (F.col("few") & F.col("short")).alias("one"))
-    side = lambda d, name: levels.select("root", (F.col("level") - d).alias("level"), F.col("blocks").alias(name))
-    plan = levels.select("root", "level", "blocks").join(side(1, "above"), ["root", "level"], "left").join(side(-1, "below"), ["root", "level"], "left").join(groups, "root")
-    rows = rows.join(plan, ["root", "level"]).withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")))
-    name = lambda lv, b: f"(({lv}) * 1048576L + ({b}))"
-    pairs = F.expr(
-        f"if(one, array(struct(-1L as a, -1L as b)), concat("
-        f"transform(sequence(0L, blocks - 1), j -> struct({name('level', 'least(own, j)')} as a, {name('level', 'greatest(own, j)')} as b)),"
-        f"if(above > 0, transform(sequence(0L, above - 1), j -> struct({name('level', 'own')} as a, {name('level + 1', 'j')} as b)), array()),"
-        f"if(below > 0, transform(sequence(0L, below - 1), j -> struct({name('level - 1', 'j')} as a, {name('level', 'own')} as b)), array())))"
-    )
-    return rows.withColumn("pairs", pairs).withColumn("mine", F.expr(f"if(one, -1L, {name('level', 'own')})")).select("sig", "root", "mine", "pairs")
-
-
-def _links(work: DataFrame, percent: int) -> DataFrame:
-    """Step 5: for each class of each pair of blocks, a class that it is connected to (itself: none) and its links."""
-
-    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = int(pdf["a"].iloc[0]), int(pdf["b"].iloc[0])
-        sets = [[np.frombuffer(t, np.uint64), np.asarray(p, np.int64).view(np.uint64), *[np.frombuffer(x, np.uint64) for x in rest]] for t, p, *rest in zip(pdf["tokens"], pdf["p1"], *[pdf[f"p{k}"] for k in range(2, ORDERS + 1)], strict=True)]
+    sizes_of = classes.groupBy(sid).agg(F.max("n").alias("n"))
+    homes = table_(shared.groupBy("sid").agg(F.min("hub").alias("home")).join(sizes_of, "sid").withColumn("level", level), "homes")
+    sizes = table_(homes.groupBy("home", "level").agg(F.count("*").alias("m"), F.sum("n").alias("t")), "sizes")
+    one = sizes.groupBy("home").agg(((F.sum("m") <= SETS) & (F.sum("t") <= SET_TOKENS)).alias("one"))
+    cut = table_(sizes.join(one, "home").withColumn("parts", F.greatest(F.ceil(F.col("m") / SETS), F.ceil(F.col("t") / SET_TOKENS))).select("home", "level", "one", "parts"), "cut")
+    # a small home is one unit of all levels (-1); two units of one hash would be one, which loses nothing
+    own = F.when(F.col("one"), F.lit(-1)).otherwise(F.col("level")).cast("long")
+    part = F.when(F.col("one"), F.lit(0)).otherwise(F.pmod(F.xxhash64("sid"), F.col("parts"))).cast("long")
+    units = table_(homes.join(cut, ["home", "level"]).select("sid", own.alias("level"), F.xxhash64("home", own, part).alias("unit")), "units")
+
+    placed = table_(shared.select("sid", "token").join(units, "sid"), "placed")
+    scratch.drop("shared")
+    places = table_(placed.select("token", "unit", "level").distinct(), "places")
+    spread = table_(places.groupBy("token").agg(F.count("*").alias("k")).where("k > 1"), "spread")
+    few = table_(places.join(spread.where(F.col("k") <= FEW), "token").groupBy("token").agg(F.collect_list(F.struct("unit", "level")).alias("others")), "few")
+    often = table_(spread.where(F.col("k") > FEW).join(hubs, "token").select("token", F.ceil(F.col("m") / SETS).alias("blocks")), "often")
+
+    none = F.lit(None).cast("long").alias("token")
+    inside = units.select("sid", none, F.col("unit").alias("a"), F.col("unit").alias("b"), F.col("unit").alias("mine"))
+    meet = placed.join(few, "token").select("sid", "unit", "level", F.explode("others").alias("o"))
+    near = (F.col("level") < 0) | (F.col("o.level") < 0) | (F.abs(F.col("level") - F.col("o.level")) <= 1)
+    across = meet.where((F.col("unit") != F.col("o.unit")) & near).select("sid", none, F.least("unit", "o.unit").alias("a"), F.greatest("unit", "o.unit").alias("b"), F.col("unit").alias("mine")).distinct()
+    held = placed.select("sid", "token").join(often, "token").withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("blocks")))
+    blocks = held.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("sid", "token", F.least("mine", "x").alias("a"), F.greatest("mine", "x").alias("b"), "mine")
+    apart = held.groupBy("sid").agg(F.collect_list("token").alias("apart"))
+    copies = whole.select(sid, F.col("sig").alias("whole_sig"), "copies")
+    known = inside.unionByName(across).unionByName(blocks).join(apart, "sid", "left").join(copies, "sid")
+    tasks = table_(known, "tasks")
+    scratch.drop("hubs", "homes", "sizes", "cut", "units", "placed", "places", "spread", "few", "often")
+    # sets go through this one join
+    return tasks.join(classes.withColumnRenamed("sig", "whole_sig"), "whole_sig").withColumnRenamed("whole_sig", "sig")
+
+
+def _links(tasks: DataFrame, percent: int) -> DataFrame:
+    """Step 5: for each class of each task, a class that it is connected to (itself: none) and its links."""
+
+    def verify(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        token, a, b = key
+        token = np.iinfo(np.int64).max if pd.isna(token) else int(token)
+        apart = [np.empty(0, np.int64) if x is None else np.asarray(x, np.int64) for x in pdf["apart"]]
+        apart = [x if pd.isna(key[0]) else x[x < token] for x in apart]
+        sets = [
+            [np.frombuffer(t, np.uint64), np.asarray(p, np.int64).view(np.uint64), *[np.frombuffer(x, np.uint64) for x in rest], np.unique(own).view(np.uint64)]
+            for t, p, own, *rest in zip(pdf["tokens"], pdf["p1"], apart, *[pdf[f"p{k}"] for k in range(2, ORDERS + 1)], strict=True)
+        ]
         size, mine = pdf["copies"].to_numpy(), pdf["mine"].to_numpy()
         i = np.arange(len(pdf)) if a == b else np.flatnonzero(mine == a)
         j = i if a == b else np.flatnonzero(mine == b)
@@ -302,9 +346,10 @@ def _links(work: DataFrame, percent: int) -> DataFrame:
         links = np.bincount(p, size[q], len(pdf)) + np.bincount(q, size[p], len(pdf))
         root = forest(len(pdf), np.stack([p, q], 1))
         sig = pdf["sig"].to_numpy()
-        return pd.DataFrame({"sig": sig, "to": sig[root], "links": links.astype(np.int64)})
+        some = (links > 0) | (np.array(root) != np.arange(len(pdf)))
+        return pd.DataFrame({"sig": sig[some], "to": sig[root][some], "links": links[some].astype(np.int64)})
 
-    return work.groupBy("root", "a", "b").applyInPandas(verify, "sig binary, to binary, links long")
+    return tasks.groupBy("token", "a", "b").applyInPandas(verify, "sig binary, to binary, links long")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id") -> DataFrame:
@@ -314,7 +359,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
     smallest doc_id that links lead to, the row's own included; n_links the number of rows that it links with. A null or
     blank text is an empty set without links and its own component. Rows may repeat: copies link with each other. A null
     doc_id counts as larger than any (a component of such rows alone has none). An empty table gives no row. ``key`` names
-    another column (integer or text) to stand for doc_id.
+    another column (integer or text) to stand for doc_id. All other columns are ignored.
     """
     key_type = "long" if dict(docs.dtypes)[key] in ("tinyint", "smallint", "int", "bigint") else "string"
     scratch = Scratch(spark, "jaccard")
@@ -329,17 +374,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
     classes = scratch.table(classes.dropDuplicates(["sig"]), "classes")
     scratch.drop("classes0")
 
-    tokens_of = classes.select("sig", F.explode("p1").alias("token"))
-    hubs = tokens_of.groupBy("token").agg(F.min("sig").alias("hub"), F.count("*").alias("many")).where("many > 1").drop("many")
-    stars = tokens_of.join(hubs, "token").where("sig <> hub").select(F.col("sig").alias("u"), F.col("hub").alias("v")).distinct()
-    groups = connected_components(scratch, stars, "group").select(F.col("node").alias("sig"), "root")
-
     whole = scratch.table(rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "whole")
-    members = classes.select("sig", "n").join(groups, "sig")
-    plan = _blocks(members, percent).join(whole.select("sig", "copies"), "sig")
-    work = plan.join(classes.drop("n"), "sig").withColumn("pair", F.explode("pairs")).select("*", "pair.a", "pair.b").drop("pair", "pairs")
-    links = scratch.table(_links(work, percent), "links")
-    scratch.drop("classes")
+    links = scratch.table(_links(_tasks(scratch, classes, whole, percent), percent), "links")
+    scratch.drop("classes", "tasks")
     roots = connected_components(scratch, links.where("sig <> to").select(F.col("sig").alias("u"), F.col("to").alias("v")), "linked")
     degree = links.groupBy("sig").agg(F.sum("links").alias("links"))
 

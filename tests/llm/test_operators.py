@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.llm import compaction, jaccard, langid, linear, matroska, mixing, quality, secrets, topk
 
@@ -51,9 +52,10 @@ def brute(rows, size, percent):
     return sorted((str(r[0]), len(sets[i]), str(min((x for x in ids[find(i)] if x is not None), default=None)), links[i]) for i, r in enumerate(rows))
 
 
-@pytest.mark.parametrize("size, percent", [(4, 85), (5, 80), (1, 60)])
-def test_near_duplicates(spark, monkeypatch, size, percent):
-    monkeypatch.setattr(jaccard, "BLOCK_SETS", (4, 8))
+@pytest.mark.parametrize("size, percent, sets, few, run", [(4, 85, 512, 32, 3_000_000), (5, 80, 8, 1, 500), (1, 60, 5, 2, 1), (1, 50, 3, 32, 3_000_000)])
+def test_near_duplicates(spark, monkeypatch, size, percent, sets, few, run):
+    for name, value in (("SETS", sets), ("FEW", few), ("RUN", run)):
+        monkeypatch.setattr(jaccard, name, value)
     rows = texts()
     got = jaccard.near_duplicates(spark, frame(spark, rows), size, percent).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.n_links) for r in got) == brute(rows, size, percent)
@@ -69,7 +71,12 @@ def test_top_k(spark):
     rows += [(100, None, "x"), (120, [1.0, None], "x"), (140, [float("nan")], "x"), (160, [float("inf")], "x"), (180, [], "x"), (200, [2.0], "x"), (20, rows[20][1], "x"), (None, [1.0], "x")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, block string")
     v = topk.sparse_rows(df).select("vec_id", "v")
-    got = topk.top_k(v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), v, 7, block=10).collect()
+    asked = v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    got = topk.top_k(asked, v, 7, block=10, asked=2).collect()
+    left, right = topk.pairs_of_blocks(asked.union(asked), v, 10, 3)
+    for side, most in ((left, 9), (right, 30)):
+        assert side.groupBy("a", "b").count().agg(F.max("count")).first()[0] <= most  # no task sees all rows
+    assert sorted(r.vec_id for r in topk.top_k(asked.union(spark.createDataFrame([(40, [-(2**40)])], asked.schema)), v, 1).where("query_id = 40").collect()) == [int(min(sound0, key=lambda e: (e[1][0], e[0]))[0]) for sound0 in [[(i, np.floor(64 * np.array(e, float))) for i, e, _ in rows if i not in (None, 40) and e and all(x is not None and np.isfinite(x) for x in e)]]]
     sound = [(i, np.floor(64 * np.array(e, float)).astype(int)) for i, e, _ in rows if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)]
     want = []
     for q in {i for i, _ in sound if i % 20 == 0}:
@@ -94,6 +101,9 @@ def test_matroska_round_trip(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
     assert matroska.packets(media).count() == 1 + 1 + 6 + 6
     bad = spark.createDataFrame([(1, None), (2, b"\x1a\x45"), (3, b"")], "doc_id long, media binary")
+    found = {r.doc_id: r for r in matroska.media_digest(bad.selectExpr("*", "5L as n_bytes", "'x' as feature")).collect()}
+    assert found[1].media_bytes is None and found[1].feature is None and found[1].n_bytes == 5
+    assert found[2].feature.startswith("error=") and found[2].media_bytes == 2 and found[2].payload_bytes is None and found[3].payload_bytes == 0
     assert [(r.doc_id, r.error is None) for r in matroska.packets(bad).collect()] == [(2, False)]
 
 
@@ -154,6 +164,19 @@ def test_mixing(spark):
     assert sum(r.words for r in copies) == sum(r.taken for r in out) and all(0 <= r.position <= 1 for r in copies)
     assert [r.position for r in copies] == sorted(r.position for r in copies)
     assert mixing.mix(spark, frame(spark, [])).count() == 0
+    for rates in ((0.5, 1.5), (1.0, 1.0), (3.0, 0.0, 1.0, 2.0), (0.0, 1.0)):
+        shares = [k / 40 for k in range(41)]
+        found = [r[0] for r in spark.createDataFrame([(x,) for x in shares], "x double").coalesce(1).select(mixing.inverse(F.col("x"), rates)).collect()]
+        grid = np.linspace(0, 1, 200_001)
+        rate = np.interp(grid, np.linspace(0, 1, len(rates)), rates)
+        demand = np.concatenate([[0], np.cumsum((rate[1:] + rate[:-1]) / 2)])
+        demand /= demand[-1]
+        assert np.allclose(np.interp(found, grid, demand), shares, atol=1e-4) and found == sorted(found)
+    late = mixing.training_order(got, ((0.0, 1.0),)).collect()
+    assert sum(r.words for r in late) == sum(r.taken for r in out) and min(r.position for r in late) >= 0
+    for bad in ((1.0,), (0.0, 0.0), (-1.0, 2.0)):
+        with pytest.raises(ValueError):
+            mixing.inverse(F.lit(0.5), bad)
     assert [(r.taken, r.target) for r in mixing.mix(spark, frame(spark, [(1, None, "en", "a"), (2, "", "en", None)])).collect()] == [(0, 0.0)] * 2
 
 
@@ -198,6 +221,39 @@ def test_compaction(spark, tmp_path):
         store.append(docs.select("doc_id"))
     store.expire()
     assert store.read().exceptAll(docs.select("doc_id", "text").union(docs.select("doc_id", "text")).union(docs.select("doc_id", "text"))).count() == 0
+    # equal columns that may not be null are the same columns; a run that no version lists goes by vacuum alone
+    store.append(docs.limit(0).selectExpr("coalesce(doc_id, 0L) as doc_id", "coalesce(text, '') as text"))
+    docs.write.parquet(f"file://{tmp_path}/s/runs/lost")
+    assert store.vacuum() == 0 and store.vacuum(-5) > 0 and store.read().count() == 3 * docs.count()
+    # a writer that loses a race for a version tries again on the newer one
+    commit, lost = store.commit, []
+
+    def raced(based_on, files, schema):
+        if not lost:
+            lost.append(commit(based_on, store.files(), schema))
+        return commit(based_on, files, schema)
+
+    store.commit = raced
+    before = store.version()
+    assert store.append(docs.select("doc_id", "text")) == before + 2 and store.read().count() == 4 * docs.count()
+    # one run and one version for each arrival, and a table with a column of that name
+    many = compaction.ShardStore(spark, f"file://{tmp_path}/m")
+    many.append(docs.selectExpr("doc_id", "text", "'own' as arrival", "doc_id % 5 as part"), arrival="part")
+    assert many.version() == len({f.run for f in many.files()}) == 6 and set(many.read().columns) == {"doc_id", "text", "arrival"}
+    assert many.read().count() == docs.count() and many.read().where("arrival = 'own'").count() == docs.count()
+
+
+def test_tiers(spark, tmp_path):
+    store = compaction.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=1000, fan=2, smallest=10)
+    assert [store.tier(n) for n in (0, 10, 11, 20, 21, 40, 41)] == [0, 0, 1, 1, 2, 2, 3]
+    f = lambda run, *sizes: [compaction.File(f"{run}{i}", n, run) for i, n in enumerate(sizes)]
+    assert store.due(f("a", 9) + f("b", 300) + f("c", 8)) == ["a", "c"]
+    assert store.due(f("a", 9) + f("b", 300) + f("c", 280)) == ["b", "c"]
+    assert store.due(f("a", 900, 950) + f("b", 900, 980)) == [] and store.due([]) == []
+
+
+def test_compaction_of_nothing(spark, tmp_path):
+    docs = frame(spark, texts())
     empty = compaction.ShardStore(spark, f"file://{tmp_path}/e")
     empty.append(docs.limit(0).select("doc_id", "text"))
     assert empty.compact() == 1 and empty.read().count() == 0
