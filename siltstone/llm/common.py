@@ -5,10 +5,8 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import threading
 import time
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +16,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siltstone.sources.scratch import Scratch
+
 #: White space between words, as the contracts define it.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Bytes of text that a task tokenizes at once.
-ENCODE_BYTES = 16 << 20
+ENCODE_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,44 +96,6 @@ def worker_state(name: str, make):
     return found
 
 
-class Scratch:
-    """One run's folder below spark.checkpoint.dir, which driver and executors share.
-
-    Tables written here cut the lineage: a lost executor costs the tasks that read the table, not the plan
-    that made it. Only where no such folder is set (local tests) a temporary one is chosen.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            held = spark.sparkContext._jsc.sc().getCheckpointDir()
-            if held.isDefined():
-                root = held.get()
-            else:
-                root = "file://" + tempfile.mkdtemp(prefix="siltstone-")
-                spark.sparkContext.setCheckpointDir(root)
-        self.spark = spark
-        self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def table(self, df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
-        """Write df as a table of this run and return a DataFrame that reads it."""
-        writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(*by) if by else writer).parquet(self.path(name))
-        return self.read(name, df)
-
-    def read(self, name: str, like: DataFrame) -> DataFrame:
-        return self.spark.read.schema(like.schema).parquet(self.path(name)).select(*like.columns)
-
-    def drop(self, *names: str) -> None:
-        """Delete tables that no later step reads."""
-        for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def filesystem(uri: str) -> tuple[pa.fs.FileSystem, str]:
     """The file system of a shared folder and the path in it, for code on executors."""
     import pyarrow.fs as pafs
