@@ -71,14 +71,18 @@ def decompress(compressed: DataFrame, with_df: bool = False) -> DataFrame:
     return from_gaps(gaps, "i").select("term", "doc_id", "tf")
 
 
+def encode(pairs: Column, base: Column) -> Column:
+    """The codes of an array of (doc_id, tf), the first gap from ``base``; an empty array gives empty bytes."""
+    before = F.concat(F.array(base.cast("bigint")), F.transform(pairs, lambda x: x["doc_id"]))
+    return F.unhex(F.array_join(F.transform(pairs, lambda x, i: F.concat(vb_hex(x["doc_id"] - F.get(before, i)), vb_hex(x["tf"]))), ""))
+
+
 def compress_blocks(postings: DataFrame, docs: int = BLOCK_DOCS) -> DataFrame:
     """(term, block, df, cf, blob): a term's documents from block * docs on, up to the next block. The first gap is taken
     from there, so that a block is read without the others and no list is gathered whole."""
     by_block = postings.withColumn("block", F.expr(f"doc_id div {docs}L")).groupBy("term", "block")
     lists = by_block.agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.sort_array(F.collect_list(F.struct("doc_id", "tf"))).alias("l"))
-    before = F.concat(F.array(F.col("block") * docs), F.col("l.doc_id"))
-    codes = F.transform("l", lambda x, i: F.concat(vb_hex(x["doc_id"] - F.get("before", i)), vb_hex(x["tf"])))
-    return lists.withColumn("before", before).select("term", "block", "df", "cf", F.unhex(F.array_join(codes, "")).alias("blob"))
+    return lists.select("term", "block", "df", "cf", encode(F.col("l"), F.col("block") * docs).alias("blob"))
 
 
 def running(numbers: Column, start: Column, part: int = 64) -> Column:

@@ -12,9 +12,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siltstone.functions import codec, text
 from siltstone.sources.readers import dense_ids
+from siltstone.sources.scratch import Scratch
 
 from .index import Index, build, postings_of, stats_of, tokenized, without
 
@@ -226,6 +228,31 @@ class IndexStore:
         self._commit(now, parts=[self._write(index=self._index(now, now["parts"]))], tombstones=[], pending=0)
 
 
+def packed_layout(postings: DataFrame) -> DataFrame:
+    """(term, df, cf, start, length, record): the file of all records, each df and then its pairs, in the order of terms.
+
+    Records are sorted by ranges into a table of the shared folder; a record starts at its range's start and what comes
+    before it there, so no task sees more than a range.
+    """
+    records = codec.compress(postings, with_df=True).withColumnRenamed("blob", "record")
+    ranged = records.repartitionByRange("term").sortWithinPartitions("term").withColumn("_range", F.spark_partition_id())
+    held = Scratch(postings.sparkSession, "packed").table(ranged, "records").withColumn("length", F.length("record").cast("long"))
+    upto = (Window.unboundedPreceding, -1)
+    sizes = held.groupBy("_range").agg(F.sum("length").alias("n"))
+    starts = sizes.select("_range", F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(*upto)), F.lit(0)).alias("base"))
+    own = F.coalesce(F.sum("length").over(Window.partitionBy("_range").orderBy("term").rowsBetween(*upto)), F.lit(0))
+    # a row for each task that wrote
+    placed = held.withColumn("own", own).join(F.broadcast(starts), "_range")
+    return placed.select("term", "df", "cf", (F.col("base") + F.col("own")).alias("start"), "length", "record")
+
+
+def file_skips(postings: DataFrame, layout: DataFrame) -> DataFrame:
+    """(term, doc_id, file_offset): skip entries with the place of their pair in the packed file."""
+    head = (F.length(codec.vb_hex(F.col("df"))) / 2).cast("long")
+    found = codec.skip_entries(postings).join(layout.select("term", "df", "start"), "term")
+    return found.select("term", "doc_id", (F.col("start") + head + F.col("byte_offset")).alias("file_offset"))
+
+
 def create_index(spark: SparkSession, mode: str, docs: DataFrame | None = None, root: str | None = None, **options):
     """memory: an Index of docs; disk or updatable: an IndexStore below root, built of docs if they are given."""
     if mode == "memory":

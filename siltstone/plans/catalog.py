@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import codec, text
 from siltstone.operators import index as ix
 from siltstone.operators import ranking, reports
-from siltstone.operators.store import IndexStore, create_index
+from siltstone.operators.store import IndexStore, create_index, file_skips, packed_layout
 from siltstone.sources import readers
 from siltstone.sources.readers import parquet_documents
 from siltstone.sources.scratch import Scratch
@@ -345,6 +345,22 @@ def skip_entries(spark, sf_dir):
     return codec.skip_entries(index(spark, sf_dir).postings)
 
 
+RECORDS = f"records AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, {vb_sql('count(*)')} || string_agg(code, '' ORDER BY doc_id) AS record FROM coded GROUP BY term), laid AS (SELECT *, CAST(length(record) // 2 AS BIGINT) AS length, CAST(coalesce(sum(length(record) // 2) OVER (ORDER BY term ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM records)"
+
+
+@query(f"{BASE}, {CODED}, {RECORDS} SELECT term, df, cf, start, length FROM laid")
+def packed_file(spark, sf_dir):
+    """Where each record lies in the packed file."""
+    return packed_layout(index(spark, sf_dir).postings).drop("record")
+
+
+@query(f"{BASE}, {CODED}, {RECORDS}, placed AS (SELECT term, doc_id, row_number() OVER w - 1 AS nth, count(*) OVER (PARTITION BY term) AS df, CAST(coalesce(sum(length(code) // 2) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset FROM coded WINDOW w AS (PARTITION BY term ORDER BY doc_id)) SELECT p.term, doc_id, start + length({vb_sql('p.df')}) // 2 + byte_offset AS file_offset FROM placed p JOIN laid l USING (term) WHERE nth > 0 AND nth % greatest(1, CAST(floor(sqrt(p.df)) AS BIGINT)) = 0 AND p.df > floor(sqrt(p.df))")
+def packed_file_skips(spark, sf_dir):
+    """Skip entries with their places in the packed file."""
+    postings = index(spark, sf_dir).postings
+    return file_skips(postings, packed_layout(postings))
+
+
 @query(f"{BASE}, ranked AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY term) AS df FROM postings WHERE term = 'the'), start AS (SELECT max(doc_id) AS d FROM ranked WHERE i > 0 AND i % CAST(floor(sqrt(df)) AS BIGINT) = 0 AND doc_id <= 500) SELECT term, doc_id, tf FROM ranked, start WHERE doc_id BETWEEN d AND 500")
 def skip_segment(spark, sf_dir):
     """The part of a list that a look-up of document 500 reads."""

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from siltstone.functions import codec, text
 from siltstone.operators import index as ix
 from siltstone.operators import ranking, reports
-from siltstone.operators.store import IndexStore, create_index
+from siltstone.operators.store import IndexStore, create_index, file_skips, packed_layout
 from siltstone.sources import readers
 
 DOCS = "doc_id long, title string, plot string"
@@ -235,10 +235,42 @@ def test_blocks_round_trip(spark):
         blocks = codec.compress_blocks(p, width)
         assert sorted(tuple(r) for r in codec.decompress_blocks(blocks, width).collect()) == sorted(rows)
         assert blocks.agg(F.max("df")).first()[0] <= width
+    assert spark.range(1).select(codec.encode(F.array().cast("array<struct<doc_id:bigint,tf:bigint>>"), F.lit(0))).first()[0] == b""
+    assert codec.compress(p.limit(0)).count() == 0
     cut = codec.compress_blocks(p).withColumn("blob", F.expr("substring(blob, 1, length(blob) - 1)"))
     assert codec.decompress_blocks(cut).count() == 0
 
 
+def test_packed_file(spark):
+    """Records lie one behind the other in the order of terms, and a skip entry's place is where its pair begins."""
+    rnd = random.Random(9)
+    rows = [(t, d, rnd.randint(1, 300)) for t, k in (("b", 70), ("a", 3), ("ab", 1), ("c", 400)) for d in rnd.sample(range(4000), k)]
+    p = spark.createDataFrame(rows, "term string, doc_id long, tf long")
+    layout = packed_layout(p)
+    records = {r.term: r for r in layout.collect()}
+    file = b"".join(bytes(records[t].record) for t in sorted(records))
+    assert all(file[r.start : r.start + r.length] == bytes(r.record) for r in records.values()) and len(file) == sum(r.length for r in records.values())
+
+    def number(at):
+        n = 0
+        while file[at] < 128:
+            n, at = n * 128 + file[at], at + 1
+        return n * 128 + file[at] - 128, at + 1
+
+    skips = file_skips(p, layout).collect()
+    by_term = {t: sorted((d, f) for u, d, f in rows if u == t) for t in records}
+    for s in skips:
+        i = [d for d, _ in by_term[s.term]].index(s.doc_id)
+        gap, at = number(s.file_offset)
+        assert gap == s.doc_id - by_term[s.term][i - 1][0] and number(at)[0] == by_term[s.term][i][1]
+    assert len(skips) == (70 - 1) // 8 + (400 - 1) // 20 + 2
+
+
+def test_stripped(spark):
+    found = spark.createDataFrame([(" \t a b\n ",), ("",), (None,)], "t string").select(text.stripped(F.col("t"))).collect()
+    assert [r[0] for r in found] == ["a b", "", None]
+
+
 def test_tiers_and_forms(spark, tmp_path):
     store = IndexStore(spark, f"file://{tmp_path}/t", merge_threshold=3)
     docs = lambda n: spark.createDataFrame([("t", "word")] * n, "title string, plot string")
