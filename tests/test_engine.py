@@ -201,8 +201,7 @@ def test_dense_ids_of_many_rows(spark, adaptive, partitions):
         spark.conf.set("spark.sql.shuffle.partitions", partitions)
         for order in ([], ["title"]):
             got = readers.dense_ids(rows, order, 7)
-            assert tuple(got.agg(F.count("*"), F.min("doc_id"), F.max("doc_id"), F.count_distinct("doc_id"), F.count_distinct("id")).first()) == (n, 7, n + 6, n, n)
-            assert got.select("plot").where("length(plot) = 512").count() == n
+            assert tuple(got.agg(F.count_if(F.length("plot") == 512), F.min("doc_id"), F.max("doc_id"), F.count_distinct("doc_id"), F.count_distinct("id")).first()) == (n, 7, n + 6, n, n)
             place = F.lag(F.struct(*order, "id")).over(Window.orderBy("doc_id"))
             assert got.where(F.col("doc_id").between(7, 20_000)).withColumn("before", place).where(F.col("before") > F.struct(*order, "id")).count() == 0
     finally:
