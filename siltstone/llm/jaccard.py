@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, filesystem, sized, table, utf8
+from .common import Scratch, filesystem, sized, table, trim_memory, utf8
 from .components import connected_components
 from .shingles import mix, text_sets
 
@@ -275,6 +275,7 @@ def _classes(scratch: Scratch, shared: DataFrame, size: int, percent: int, key_b
                 parts.append((row["range"], row["keys"], row["counts"]))
         if parts:
             yield from find(now, parts)
+        trim_memory()
 
     ordered = shared.repartition("chunk").sortWithinPartitions("chunk", "range")
     return ordered.mapInArrow(run, "sig binary, n long, tokens binary, p1 array<long>, " + ", ".join(f"p{k} binary" for k in range(2, ORDERS + 1)))
@@ -289,7 +290,8 @@ def _tasks(scratch: Scratch, classes: DataFrame, whole: DataFrame, percent: int)
     sid = F.xxhash64("sig").alias("sid")
     tokens_of = table_(classes.select(sid, F.explode("p1").alias("token")), "tokens")
     hubs = table_(tokens_of.groupBy("token").agg(F.min("sid").alias("hub"), F.count("*").alias("m")).where("m > 1"), "hubs")
-    shared = table_(tokens_of.join(hubs.drop("m"), "token"), "shared")
+    # joined by sorting at every size: these sides grow with the corpus, and one plan shows on a small one how
+    shared = table_(tokens_of.join(hubs.drop("m").hint("merge"), "token"), "shared")
     scratch.drop("tokens")
     level = F.floor(F.log("n") / math.log(100 / percent)).cast("long")
     sizes_of = classes.groupBy(sid).agg(F.max("n").alias("n"))
@@ -302,7 +304,7 @@ def _tasks(scratch: Scratch, classes: DataFrame, whole: DataFrame, percent: int)
     part = F.when(F.col("one"), F.lit(0)).otherwise(F.pmod(F.xxhash64("sid"), F.col("parts"))).cast("long")
     units = table_(homes.join(cut, ["home", "level"]).select("sid", own.alias("level"), F.xxhash64("home", own, part).alias("unit")), "units")
 
-    placed = table_(shared.select("sid", "token").join(units, "sid"), "placed")
+    placed = table_(shared.select("sid", "token").join(units.hint("merge"), "sid"), "placed")
     scratch.drop("shared")
     places = table_(placed.select("token", "unit", "level").distinct(), "places")
     spread = table_(places.groupBy("token").agg(F.count("*").alias("k")).where("k > 1"), "spread")
@@ -311,18 +313,18 @@ def _tasks(scratch: Scratch, classes: DataFrame, whole: DataFrame, percent: int)
 
     none = F.lit(None).cast("long").alias("token")
     inside = units.select("sid", none, F.col("unit").alias("a"), F.col("unit").alias("b"), F.col("unit").alias("mine"))
-    meet = placed.join(few, "token").select("sid", "unit", "level", F.explode("others").alias("o"))
+    meet = placed.join(few.hint("merge"), "token").select("sid", "unit", "level", F.explode("others").alias("o"))
     near = (F.col("level") < 0) | (F.col("o.level") < 0) | (F.abs(F.col("level") - F.col("o.level")) <= 1)
     across = meet.where((F.col("unit") != F.col("o.unit")) & near).select("sid", none, F.least("unit", "o.unit").alias("a"), F.greatest("unit", "o.unit").alias("b"), F.col("unit").alias("mine")).distinct()
     held = placed.select("sid", "token").join(often, "token").withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("blocks")))
     blocks = held.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("sid", "token", F.least("mine", "x").alias("a"), F.greatest("mine", "x").alias("b"), "mine")
     apart = held.groupBy("sid").agg(F.collect_list("token").alias("apart"))
     copies = whole.select(sid, F.col("sig").alias("whole_sig"), "copies")
-    known = inside.unionByName(across).unionByName(blocks).join(apart, "sid", "left").join(copies, "sid")
+    known = inside.unionByName(across).unionByName(blocks).join(apart, "sid", "left").join(copies.hint("merge"), "sid")
     tasks = table_(known, "tasks")
     scratch.drop("hubs", "homes", "sizes", "cut", "units", "placed", "places", "spread", "few", "often")
     # sets go through this one join
-    return tasks.join(classes.withColumnRenamed("sig", "whole_sig"), "whole_sig").withColumnRenamed("whole_sig", "sig")
+    return tasks.hint("merge").join(classes.withColumnRenamed("sig", "whole_sig"), "whole_sig").withColumnRenamed("whole_sig", "sig")
 
 
 def _links(tasks: DataFrame, percent: int) -> DataFrame:
