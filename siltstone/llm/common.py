@@ -7,6 +7,7 @@ import ctypes
 import gc
 import threading
 import time
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,34 @@ def utf8(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def trim_memory() -> None:
+    """Give freed memory back to the system, that of Arrow's pool included."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+#: Parameters of glibc's mallopt (fixed values): arenas, and the size from which freed memory goes back at once.
+M_ARENA_MAX, M_MMAP_THRESHOLD = -8, -3
+
+
+@cache
+def be_frugal() -> None:
+    """Once for a Python worker: few arenas and threads, and large arrays that go back to the system when they are freed, as
+    an executor's workers share its memory with the JVM."""
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt is not None:
+        mallopt(M_ARENA_MAX, 2)
+        mallopt(M_MMAP_THRESHOLD, 1 << 21)
+    pa.set_cpu_count(1)
+
+
 def sized(batches, column: int, limit: int):
     """The rows of record batches in their order, as batches whose ``column`` (text or binary) has at most ``limit`` bytes,
     or one row. Small batches are joined, so that the size of Spark's batches doesn't matter."""
+    be_frugal()
     held, size = [], 0
 
     def joined():
@@ -59,6 +85,8 @@ def sized(batches, column: int, limit: int):
             at = stop
     if held:
         yield joined()
+    held = batch = ends = None
+    trim_memory()
 
 
 _STATE: dict = {}
@@ -67,14 +95,6 @@ _USED = [0.0]
 IDLE = 15
 
 
-def trim_memory() -> None:
-    """Give freed memory back to the system."""
-    gc.collect()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
-
-
 def _forget_when_idle() -> None:
     while time.monotonic() - _USED[0] < IDLE:
         time.sleep(1)
