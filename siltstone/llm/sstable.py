@@ -210,9 +210,9 @@ class TokenStore:
     def __init__(self, scratch: Scratch, manifest: DataFrame, key_type: str):
         self.scratch, self.manifest, self.key_type = scratch, manifest, key_type
 
-    def documents(self) -> DataFrame:
+    def documents(self, task_bytes: int = 8 << 20) -> DataFrame:
         """(key, start, n_tokens, ids) of every entry, read back from the shards; start counts the ids before it.
-        ids are little-endian unsigned 32-bit integers."""
+        ids are little-endian unsigned 32-bit integers. A task reads about ``task_bytes`` of shards, or one shard."""
         order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
         shards = self.manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(order), F.lit(0)))
 
@@ -238,8 +238,10 @@ class TokenStore:
         def _rows(held):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), (kind, pa.int64(), pa.int64(), pa.binary()), strict=True)], ["key", "start", "n_tokens", "ids"])
 
-        # a shard is a row of a few bytes here and tens of MB there: as many tasks as shards
-        spread = shards.select("path", "bytes", "base").repartition(max(1, self.manifest.count()), "path")
+        # a shard is a row of a few bytes here and up to tens of MB there: tasks by bytes, and shards dealt in turn
+        n, size = self.manifest.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+        tasks = min(n, max(self.scratch.spark.sparkContext.defaultParallelism, -(-size // task_bytes)))
+        spread = shards.select("path", "bytes", "base").repartition(max(1, tasks))
         return spread.mapInArrow(read, f"key {self.key_type}, start long, n_tokens long, ids binary")
 
     def lookup(self, keys: DataFrame, slots: int = 16) -> DataFrame:
@@ -325,7 +327,8 @@ def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: i
             types = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)], [x.split()[0] for x in MANIFEST.split(", ")])
 
-    manifest = scratch.table(ordered.select("k", "t").mapInArrow(write, MANIFEST), "manifest")
+    # one file: a row of a shard is some hundred bytes, and a Parquet file takes starts of chmod on a local file system
+    manifest = scratch.table(ordered.select("k", "t").mapInArrow(write, MANIFEST).repartition(1), "manifest")
     return TokenStore(scratch, manifest, key_type)
 
 

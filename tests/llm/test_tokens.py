@@ -114,6 +114,30 @@ def test_op1_against_the_library(spark):
     assert store.lookup(spark.createDataFrame([(None,)], "doc_id long")).count() == 2
 
 
+def test_op1_small_shards_share_tasks_and_a_manifest_file(spark):
+    """Many tiny shards are neither a manifest file nor a task each."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(400)], "doc_id long, text string")
+    held = {"spark.sql.shuffle.partitions": "20", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        store = sstable.write_tokens(spark, docs, P.path("byte_bpe_50k.json"), 2)
+        few, shards = store.documents(), store.manifest.count()
+        assert shards > 10 and len(store.manifest.inputFiles()) == 1
+        assert few.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism < shards
+        each = store.documents(task_bytes=1)
+        assert each.rdd.getNumPartitions() == shards
+        # one shard a task
+        assert each.mapInArrow(lambda batches: iter([pa.RecordBatch.from_arrays([pa.array([sum(b.num_rows for b in batches)])], ["n"])]), "n long").filter("n > 0").count() == shards
+        got = sorted(map(tuple, few.collect()))
+        assert got == sorted(map(tuple, each.collect())) and [r[0] for r in got] == list(range(400))
+        assert [r[1] for r in got] == [sum(r[2] for r in got[:i]) for i in range(400)]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_op1_of_nothing(spark):
     store = sstable.write_tokens(spark, spark.createDataFrame([], SCHEMA), P.path("byte_bpe_50k.json"), 2)
     assert store.documents().count() == 0
