@@ -16,10 +16,14 @@ BLOCK_DOCS = 1 << 16
 
 
 def vb_hex(n: Column) -> Column:
-    """Hex of the code of a number from 0 to 2^63 - 1."""
+    """Hex of the code of a number from 0 to 2^63 - 1. Codes of up to three bytes, which nearly all are, take one step."""
     byte = lambda x: F.lpad(F.hex(x), 2, "0")
     parts = [F.when(n >= F.lit(1 << 7 * k), byte(F.shiftrightunsigned(n, 7 * k).bitwiseAND(F.lit(127)))).otherwise("") for k in range(8, 0, -1)]
-    return F.concat(*parts, byte(n.bitwiseAND(F.lit(127)).bitwiseOR(F.lit(128))))
+    last = n.bitwiseAND(F.lit(127)).bitwiseOR(F.lit(128))
+    group = lambda k: F.shiftleft(F.shiftrightunsigned(n, 7 * k).bitwiseAND(F.lit(127)), 8 * k)
+    two = F.lpad(F.hex(group(1).bitwiseOR(last)), 4, "0")
+    three = F.lpad(F.hex(group(2).bitwiseOR(group(1)).bitwiseOR(last)), 6, "0")
+    return F.when(n < 1 << 7, F.hex(last)).when(n < 1 << 14, two).when(n < 1 << 21, three).otherwise(F.concat(*parts, byte(last)))
 
 
 def vb_encode(n: Column) -> Column:
@@ -29,13 +33,18 @@ def vb_encode(n: Column) -> Column:
 def vb_decode(blob: Column) -> Column:
     """array<bigint> of the numbers in a blob, in time linear in its length. Decoding ends at an unfinished last number or
     at a code of more than nine bytes, which no number of vb_encode has."""
-    codes = F.regexp_extract_all(F.hex(blob), F.lit(r"\G((?:[0-7][0-9A-F]){0,8}[89A-F][0-9A-F])"), F.lit(1))
+    # a character for each byte
+    codes = F.regexp_extract_all(F.decode(blob, "ISO-8859-1"), F.lit(r"\G[\x00-\x7F]{0,8}[\x80-\xFF]"), F.lit(0))
 
     def number(code: Column) -> Column:
-        low = F.conv(F.right(code, F.lit(16)), 16, 10).cast("bigint")
+        byte = lambda k: F.ascii(F.substring(code, k, 1))
+        size, first = F.length(code), F.ascii(code)
+        whole = F.lpad(F.hex(F.encode(code, "ISO-8859-1")), 18, "0")
+        low = F.conv(F.right(whole, F.lit(16)), 16, 10).cast("bigint")
         groups = [F.shiftleft(F.shiftrightunsigned(low, 8 * k).bitwiseAND(F.lit(127)), 7 * k) for k in range(8)]
-        ninth = F.when(F.length(code) > 16, F.shiftleft(F.conv(F.left(code, F.lit(2)), 16, 10).cast("bigint"), 56)).otherwise(F.lit(0))
-        return sum(groups[1:], groups[0]) + ninth
+        ninth = F.shiftleft(F.conv(F.left(whole, F.lit(2)), 16, 10).cast("bigint"), 56)
+        short = F.when(size == 1, first - 128).when(size == 2, first * 128 + byte(2) - 128).when(size == 3, first * 16384 + byte(2) * 128 + byte(3) - 128)
+        return short.otherwise(sum(groups[1:], groups[0]) + ninth).cast("bigint")
 
     return F.transform(codes, number)
 
@@ -61,20 +70,27 @@ def compress(postings: DataFrame, with_df: bool = False) -> DataFrame:
 
 
 def decompress(compressed: DataFrame, with_df: bool = False) -> DataFrame:
-    """(term, doc_id, tf). A blob that doesn't hold df whole pairs is damaged and gives no rows."""
+    """(term, doc_id, tf). A blob that doesn't hold df whole pairs is damaged and gives no rows. A list is decoded where its
+    blob is: no posting is shuffled."""
     at = 1 if with_df else 0
     numbers = compressed.select("term", "df", vb_decode(F.col("blob")).alias("x"))
     whole = numbers.where(F.size("x") == 2 * F.col("df") + at)
-    places = F.expr(f"if(size(x) > {at}, sequence({at}, size(x) - 2, 2), array())")
-    pairs = F.transform(places, lambda k: F.struct(F.get("x", k).alias("gap"), F.get("x", k + 1).alias("tf")))
-    gaps = whole.select("term", F.posexplode(pairs).alias("i", "p")).select("term", "i", "p.gap", "p.tf")
-    return from_gaps(gaps, "i").select("term", "doc_id", "tf")
+    return _rows(whole.select("term", F.slice("x", at + 1, 2 * F.col("df")).alias("x"), F.lit(0).cast("bigint").alias("base")))
+
+
+def _rows(numbers: DataFrame) -> DataFrame:
+    """(term, doc_id, tf) of (term, x, base): x has a gap and a tf in turn, the first gap is from base."""
+    every = lambda r: F.filter("x", lambda _, i: i % 2 == r)
+    halves = numbers.select("term", "base", every(0).alias("gaps"), every(1).alias("tfs"))
+    pairs = F.arrays_zip(F.col("ids").alias("doc_id"), F.col("tfs").alias("tf"))
+    return with_running(halves, "gaps", "base", "ids").select("term", F.explode(pairs).alias("p")).select("term", F.col("p.doc_id").alias("doc_id"), F.col("p.tf").alias("tf"))
 
 
 def encode(pairs: Column, base: Column) -> Column:
     """The codes of an array of (doc_id, tf), the first gap from ``base``; an empty array gives empty bytes."""
-    before = F.concat(F.array(base.cast("bigint")), F.transform(pairs, lambda x: x["doc_id"]))
-    return F.unhex(F.array_join(F.transform(pairs, lambda x, i: F.concat(vb_hex(x["doc_id"] - F.get(before, i)), vb_hex(x["tf"]))), ""))
+    # the ids before are an argument and not part of the function, which would make them anew for each pair
+    before = F.slice(F.concat(F.array(base.cast("bigint")), F.transform(pairs, lambda x: x["doc_id"])), F.lit(1), F.size(pairs))
+    return F.unhex(F.array_join(F.zip_with(pairs, before, lambda x, b: F.concat(vb_hex(x["doc_id"] - b), vb_hex(x["tf"]))), ""))
 
 
 def compress_blocks(postings: DataFrame, docs: int = BLOCK_DOCS) -> DataFrame:
@@ -85,24 +101,26 @@ def compress_blocks(postings: DataFrame, docs: int = BLOCK_DOCS) -> DataFrame:
     return lists.select("term", "block", "df", "cf", encode(F.col("l"), F.col("block") * docs).alias("blob"))
 
 
-def running(numbers: Column, start: Column, part: int = 64) -> Column:
-    """start plus the sums of the first one, two, ... numbers of an array, within the row: parts of a fixed size are summed
-    apart and shifted by the parts before them, as an array that grows by one is copied each time."""
+def with_running(df: DataFrame, numbers: str, start: str, out: str, part: int = 64, levels: int = 3) -> DataFrame:
+    """Adds out: start plus the sums of the first one, two, ... numbers of an array, within the row. Parts of a fixed size are
+    summed apart and shifted by the parts before them, as an array that grows by one is copied each time; the parts' own
+    sums are summed in the same way. Each step is a column, as a function of an array would make it anew for each item."""
     grown = lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x)
-    total = lambda p: F.aggregate(p, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    first = F.filter(F.sequence(F.lit(0), F.size(numbers)), lambda i: (i % part == 0) & (i < F.size(numbers)))
-    parts = F.transform(first, lambda i: F.slice(numbers, i + 1, part))
-    starts = F.aggregate(parts, F.array(start), lambda acc, p: grown(acc, total(p)))
-    return F.flatten(F.transform(parts, lambda p, i: F.slice(F.aggregate(p, F.array(F.get(starts, i)), grown), 2, part)))
+    sums = lambda p, b: F.slice(F.aggregate(p, F.array(b), grown), F.lit(2), F.size(p))
+    if levels == 1:
+        return df.withColumn(out, sums(F.col(numbers), F.col(start)))
+    parts, totals, ends = (f"_{x}{levels}" for x in ("parts", "totals", "ends"))
+    df = df.withColumn(parts, F.transform(F.expr(f"sequence(0, cast((size({numbers}) - 1) div {part} as int))"), lambda i: F.slice(numbers, i * part + 1, part)))
+    df = df.withColumn(totals, F.transform(parts, lambda p: F.aggregate(p, F.lit(0).cast("bigint"), lambda a, x: a + x)))
+    df = with_running(df, totals, start, ends, part, levels - 1)
+    before = F.slice(F.concat(F.array(start), F.col(ends)), F.lit(1), F.size(parts))
+    return df.withColumn(out, F.flatten(F.zip_with(parts, before, sums))).drop(parts, totals, ends)
 
 
 def decompress_blocks(blocks: DataFrame, docs: int = BLOCK_DOCS) -> DataFrame:
     """(term, doc_id, tf). A blob that doesn't hold df whole pairs is damaged and gives no rows."""
     numbers = blocks.select("term", "block", "df", vb_decode(F.col("blob")).alias("x")).where(F.size("x") == 2 * F.col("df"))
-    every = lambda r: F.filter("x", lambda _, i: i % 2 == r)
-    halves = numbers.select("term", "block", every(0).alias("gaps"), every(1).alias("tfs"))
-    pairs = F.arrays_zip(running(F.col("gaps"), F.col("block") * docs).alias("doc_id"), F.col("tfs").alias("tf"))
-    return halves.select("term", F.explode(pairs).alias("p")).select("term", F.col("p.doc_id").alias("doc_id"), F.col("p.tf").alias("tf"))
+    return _rows(numbers.select("term", "x", (F.col("block") * docs).alias("base")))
 
 
 def skip_entries(postings: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import time
 from math import log, sqrt
 
 import pytest
@@ -240,6 +241,29 @@ def test_blocks_round_trip(spark):
     assert codec.decompress_blocks(cut).count() == 0
 
 
+@pytest.mark.parametrize("n", [20_000])
+def test_long_lists_in_linear_time(spark, n):
+    """A block of many documents and a whole list are coded and decoded in seconds; by the square of n it takes minutes."""
+    began = time.monotonic()
+    p = spark.range(n).select(F.lit("a").alias("term"), (3 * F.col("id")).alias("doc_id"), (1 + F.col("id") % 300).alias("tf"))
+    blocks = codec.compress_blocks(p)
+    assert ix.differences(codec.decompress_blocks(blocks), p).count() == 0
+    whole = codec.compress(p)
+    assert ix.differences(codec.decompress(whole), p).count() == 0
+    # no posting of a decoded list is shuffled
+    plan = codec.decompress(spark.createDataFrame([("a", 1, bytearray(b"\x81\x81"))], "term string, df long, blob binary"))
+    assert "Window" not in plan._jdf.queryExecution().toString() and plan.collect()[0][:] == ("a", 1, 1)
+    assert time.monotonic() - began < 60
+
+
+def test_codes_of_all_lengths(spark):
+    values = [v for k in range(1, 10) for v in (2 ** (7 * k) - 1, 2 ** (7 * k), 2 ** (7 * k) + 5) if v < 2**63] + [0, 2**63 - 1]
+    for r in spark.createDataFrame([(v,) for v in values], "n long").select("n", codec.vb_encode(F.col("n")).alias("b"), codec.vb_decode(codec.vb_encode(F.col("n"))).alias("back")).collect():
+        groups = [r.n >> 7 * k & 127 for k in range(8, -1, -1)]
+        code = groups[next((i for i, g in enumerate(groups) if g), 8) :]
+        assert bytes(r.b) == bytes([*code[:-1], code[-1] | 128]) and r.back == [r.n]
+
+
 def test_packed_file(spark):
     """Records lie one behind the other in the order of terms, and a skip entry's place is where its pair begins."""
     rnd = random.Random(9)
