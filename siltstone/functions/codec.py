@@ -133,7 +133,9 @@ def skip_entries(postings: DataFrame) -> DataFrame:
     return placed.where((F.col("nth") > 0) & (F.col("nth") % step == 0) & (F.col("df") > step)).select("term", "doc_id", "nth", "byte_offset")
 
 
-def segment(postings: DataFrame, skips: DataFrame, target: int) -> DataFrame:
-    """Postings from the last skip entry at or before ``target`` up to it."""
+def segment(postings: DataFrame, skips: DataFrame, target: int, head: bool = True) -> DataFrame:
+    """Postings from the last skip entry at or before ``target`` up to it. Where a term has no such entry they are those from
+    the list's head, or none without ``head``."""
     start = skips.where(F.col("doc_id") <= target).groupBy("term").agg(F.max("doc_id").alias("start"))
-    return postings.where(F.col("doc_id") <= target).join(start, "term", "left").where(F.col("doc_id") >= F.coalesce("start", F.lit(0))).select("term", "doc_id", "tf")
+    found = postings.where(F.col("doc_id") <= target).join(start, "term", "left" if head else "inner")
+    return found.where(F.col("start").isNull() | (F.col("doc_id") >= F.col("start"))).select("term", "doc_id", "tf")

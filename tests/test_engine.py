@@ -264,6 +264,34 @@ def test_codes_of_all_lengths(spark):
         assert bytes(r.b) == bytes([*code[:-1], code[-1] | 128]) and r.back == [r.n]
 
 
+def against_sql(spark, folder, name, docs):
+    """Rows of a registered query over docs (doc_id, text, lang, source), and those of its SQL."""
+    import duckdb
+
+    from siltstone.plans import catalog
+
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    want = duckdb.connect()
+    want.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    key = lambda r: tuple((x is None, str(x)) for x in r)
+    return sorted(map(tuple, catalog.QUERIES[name](spark, str(folder)).collect()), key=key), sorted(want.sql(catalog.ORACLES[name]).fetchall(), key=key)
+
+
+@pytest.mark.parametrize("ids, rows", [((1, 2, 600, 700, 800), 0), ((1, 2, 3, 400, 500, 600), 1)])
+def test_segment_without_an_entry_before(spark, tmp_path, ids, rows):
+    got, want = against_sql(spark, tmp_path, "skip_segment", [(i, "the end", "en", "s") for i in ids])
+    assert got == want and len(got) == rows
+    p = spark.createDataFrame([("the", i, 1) for i in ids], "term string, doc_id long, tf long")
+    assert codec.segment(p, codec.skip_entries(p), 2).count() == 2  # a look-up reads from the list's head
+
+
+def test_differences(spark):
+    left, right = (spark.createDataFrame([(x,) for x in xs], "x long") for xs in ([1, 1, 1, 2, None], [1, 2, 3, 3]))
+    assert sorted(map(str, ix.differences(left, right).collect())) == sorted(["Row(x=1, side='left')"] * 2 + ["Row(x=None, side='left')"] + ["Row(x=3, side='right')"] * 2)
+    plan = ix.differences(left.distinct(), right)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 2  # each side once
+
+
 def test_packed_file(spark):
     """Records lie one behind the other in the order of terms, and a skip entry's place is where its pair begins."""
     rnd = random.Random(9)
