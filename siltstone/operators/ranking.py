@@ -14,6 +14,8 @@ from .index import Index
 
 #: Query terms of a batch up to which they are broadcast, counted before; more are joined by term.
 BROADCAST_TERMS = 500_000
+#: Pairs of a query of a batch and a document that a task sums at most, if every query meets every document.
+PAIRS = 1_000_000
 
 
 def query_terms(index: Index, queries: str | DataFrame) -> tuple[DataFrame, list[str] | None]:
@@ -40,9 +42,14 @@ def _asked(index: Index, queries: str | DataFrame, *frequency: str) -> tuple[Dat
     return small(asked.join(postings.groupBy("term").agg(*[sums[f].alias(f) for f in frequency]), "term")), postings
 
 
-def _with_lengths(postings: DataFrame, index: Index) -> DataFrame:
+def _with_lengths(postings: DataFrame, index: Index, queries: str | DataFrame) -> DataFrame:
     """Postings by document with doc_len, 0 where it is not known. They meet the query terms afterwards, so the rows of one
-    document and all queries are where its score is summed."""
+    document and all queries are where its score is summed. For a batch documents are dealt to so many tasks that what a
+    task sums does not grow with their number."""
+    if not isinstance(queries, str):
+        pairs = index.size[0] * queries.select("query_id").distinct().count()
+        tasks = int(index.postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        postings = postings.repartition(max(tasks, -(-pairs // PAIRS)), "doc_id")
     return postings.join(index.doc_stats.select("doc_id", "doc_len"), "doc_id", "left").withColumn("doc_len", F.coalesce("doc_len", F.lit(0)))
 
 
@@ -63,7 +70,7 @@ def bm25(index: Index, queries: str | DataFrame, top_k: int | None = 10, k1: flo
     without statistics has length 0 and no title."""
     n, avgdl = index.size
     asked, postings = _asked(index, queries, "df")
-    found = _with_lengths(postings, index).join(asked, "term")
+    found = _with_lengths(postings, index, queries).join(asked, "term")
     idf = F.ln(F.lit(float(n)) / F.col("df"))
     norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.coalesce(F.try_divide(F.col("doc_len"), F.lit(avgdl or 0.0)), F.lit(0.0)))
     weight = F.col("qtf") * idf * F.col("tf") * F.lit(k1 + 1.0) / (F.col("tf") + norm)
@@ -84,7 +91,7 @@ def smart(index: Index, queries: str | DataFrame, weighting: str = "ltc.ltc", to
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("query_id")))
     weights = raw.withColumn("wq", F.coalesce(F.try_divide(F.col("raw"), norm), F.lit(0.0))).select("query_id", "term", "first_pos", "wq")
     small = weights if not isinstance(queries, str) and asked.count() > BROADCAST_TERMS else F.broadcast(weights)
-    scored = _with_lengths(postings, index).join(small, "term").withColumn("w", F.col("wq") * (1 + F.ln("tf")))
+    scored = _with_lengths(postings, index, queries).join(small, "term").withColumn("w", F.col("wq") * (1 + F.ln("tf")))
     return _ranked(scored, index, top_k, isinstance(queries, str))
 
 
@@ -98,6 +105,6 @@ def language_model(index: Index, queries: str | DataFrame, top_k: int | None = 1
     """Extension: query likelihood with Jelinek-Mercer smoothing, as a sum of ln(1 + lam tf/len / ((1 - lam) cf/|C|))."""
     total = index.doc_stats.agg(F.coalesce(F.sum("doc_len"), F.lit(0))).first()[0]
     asked, postings = _asked(index, queries, "cf")
-    found = _with_lengths(postings, index).where("doc_len > 0").join(asked, "term")
+    found = _with_lengths(postings, index, queries).where("doc_len > 0").join(asked, "term")
     ratio = F.lit(lam) * F.col("tf") / F.col("doc_len") / (F.lit(1.0 - lam) * F.col("cf") / F.lit(float(total or 1)))
     return _ranked(found.withColumn("w", F.col("qtf") * F.ln(1 + ratio)), index, top_k, isinstance(queries, str))

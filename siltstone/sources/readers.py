@@ -58,22 +58,25 @@ def folder_with(spark: SparkSession, folder: str, read: Callable[[str, bytes], t
     return dense_ids(files.mapInPandas(run, "file string, title string, plot string"), ["file"]).select("doc_id", "title", "plot")
 
 
-def parquet_documents(spark: SparkSession, path: str, title: str = "source", plot: str = "text", decade: str = "lang") -> DataFrame:
-    """(doc_id, title, plot, decade) of a table that has ids already."""
+def parquet_documents(spark: SparkSession, path: str, title: str = "source", plot: str = "text", decade: str = "lang", whole: bool = False) -> DataFrame:
+    """(doc_id, title, plot, decade) of a table that has ids already. ``whole``: all postings will be counted."""
     read = spark.read.parquet(path).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(title).alias("title"), F.col(plot).alias("plot"), F.col(decade).alias("decade"))
-    return dealt(read, path)
+    return dealt(read, path, whole)
 
 
-def dealt(docs: DataFrame, path: str, row_group: int = 16 << 20) -> DataFrame:
-    """docs, dealt out by doc_id if the files at ``path`` are too small to have a row group for each core.
+def dealt(docs: DataFrame, path: str, whole: bool = False, row_group: int = 16 << 20, share: int = 8 << 20) -> DataFrame:
+    """docs, dealt out by doc_id if the files at ``path`` are too small to have a row group for each core, or if ``whole``.
 
-    A row group is read by one task, and so is all that follows up to the next shuffle. What is moved is at most
-    ``row_group`` bytes a core; a larger table stays where it is. Dealt by doc_id, a document's terms need no other shuffle.
+    A row group is read by one task, and so is all that follows up to the next shuffle. Dealt by doc_id, a document's terms
+    need no other shuffle: a text is moved once and its postings, which are more bytes, are not. A task gets ``share`` bytes
+    of the files, so that the terms which it counts don't grow with the table.
     """
     spark = docs.sparkSession
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     size = where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
     cores = spark.sparkContext.defaultParallelism
+    if whole:
+        return docs.repartition(max(cores, -(-size // share)), "doc_id")
     return docs.repartition(cores, "doc_id") if size < cores * row_group else docs
 
 

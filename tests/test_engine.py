@@ -371,6 +371,27 @@ def test_ranking_without_broadcast_and_without_statistics(spark, micro, monkeypa
     assert got[0] is None and len(got) == 3
 
 
+def test_tasks_of_a_batch_grow_with_its_pairs(spark, micro, monkeypatch):
+    """A task's share of (query, document) pairs is bounded, whatever spark.sql.shuffle.partitions is."""
+    many = spark.createDataFrame([(i, "love story") for i in range(4)], "query_id long, query string")
+    want = sorted(map(tuple, ranking.smart(micro, many).collect()))
+    monkeypatch.setattr(ranking, "PAIRS", 2)
+    for f in (ranking.bm25, ranking.smart, ranking.language_model):
+        assert "hashpartitioning(doc_id#" in (plan := f(micro, many)._jdf.queryExecution().executedPlan().toString()) and re.search(r"hashpartitioning\(doc_id#\d+L?, 10\)", plan)
+    assert sorted(map(tuple, ranking.smart(micro, many).collect())) == want
+
+
+def test_dealt_by_document(spark, tmp_path):
+    """A table of which all postings are counted is dealt by doc_id at every size, in shares of bounded size."""
+    path = f"{tmp_path}/d.parquet"
+    spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("t").alias("source"), F.md5(F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang")).write.parquet(path)
+    docs = spark.read.parquet(path)
+    assert readers.dealt(docs, path, whole=True, row_group=1, share=1000).rdd.getNumPartitions() > 8
+    plan = ix.build(readers.parquet_documents(spark, path, whole=True)).postings._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
+    assert ix.build(readers.parquet_documents(spark, path, whole=True)).statistics().first().n == 1000
+
+
 def test_console(spark):
     from siltstone.operators import console
 
