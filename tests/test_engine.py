@@ -285,6 +285,15 @@ def test_segment_without_an_entry_before(spark, tmp_path, ids, rows):
     assert codec.segment(p, codec.skip_entries(p), 2).count() == 2  # a look-up reads from the list's head
 
 
+@pytest.mark.parametrize("name", ["csv_ids", "text_folder_ids"])
+def test_odd_texts_are_loaded_as_they_are(spark, tmp_path, name):
+    """Missing and empty texts, white space at the ends, line ends, quotes and signs of CSV."""
+    odd = [None, "", " lead", "trail \n", "\n\nx", "a\rb", "a\r\nb\r", 'q"uo"te', 'back\\"slash\\', "#hash", "NUL\0x", "\0", "a,b", "Null", "\\", '"', "\u2028z", "\r", "", "end"]
+    titles = ["s", None, "", " t ", "#"]
+    got, want = against_sql(spark, tmp_path, name, [(3 * i, x, "en", titles[i % 5]) for i, x in enumerate(odd)])
+    assert got == want and len(got) == len(odd)
+
+
 def test_differences(spark):
     left, right = (spark.createDataFrame([(x,) for x in xs], "x long") for xs in ([1, 1, 1, 2, None], [1, 2, 3, 3]))
     assert sorted(map(str, ix.differences(left, right).collect())) == sorted(["Row(x=1, side='left')"] * 2 + ["Row(x=None, side='left')"] + ["Row(x=3, side='right')"] * 2)
